@@ -16,7 +16,7 @@ _SCORE = "GREATEST(CAST(0 AS DOUBLE), LEAST(CAST(100 AS DOUBLE), {b} / 100))"
 VIEWS: dict[str, str] = {
     "readings": """
         SELECT event_id AS reading_id, user_id AS device_id, ts AS event_ts,
-               value / 50 AS power_kw,
+               value / 47 AS power_kw,
                CAST(15 + event_id % 30 AS DOUBLE) AS temperature,
                CAST(195 + (event_id * 7) % 70 AS DOUBLE) AS voltage,
                CAST((event_id * 3) % 110 AS DOUBLE) AS current_a,
@@ -32,7 +32,7 @@ VIEWS: dict[str, str] = {
     "readings_gappy": """
         SELECT event_id AS reading_id, user_id AS device_id, ts AS event_ts,
                CASE WHEN event_id % 11 = 0 OR (event_id % 360) < 40 THEN NULL
-                    ELSE value / 50 END AS power_kw,
+                    ELSE value / 47 END AS power_kw,
                CASE WHEN event_id % 13 = 0 THEN NULL
                     ELSE CAST(15 + event_id % 30 AS DOUBLE) END AS temperature
         FROM events""",
@@ -136,8 +136,8 @@ VIEWS: dict[str, str] = {
     "predictions": """
         SELECT event_id AS row_id,
                CASE WHEN user_id % 2 = 0 THEN 'model_a' ELSE 'model_b' END AS model_name,
-               CASE WHEN event_id % 97 = 0 THEN CAST(0 AS DOUBLE) ELSE value / 50 END AS y_true,
-               value / 50 + (CAST(event_id % 21 AS DOUBLE) - 10) / 20 AS y_pred
+               CASE WHEN event_id % 97 = 0 THEN CAST(0 AS DOUBLE) ELSE value / 47 END AS y_true,
+               value / 47 + (CAST(event_id % 21 AS DOUBLE) - 10) / 20 AS y_pred
         FROM events""",
     "class_predictions": """
         SELECT doc_id AS row_id, quality + toxic AS y_label,
