@@ -71,9 +71,9 @@ def nearest_k(
             there, here = F.floor(F.col(donor_at[i]) / width), F.floor(F.col(query_at[i]) / width)
             block = F.sequence(here - 1, here + 1)
             if period[i]:
-                n = round(period[i] / width)
-                there = F.pmod(there, F.lit(n))
-                block = F.array_distinct(F.transform(block, lambda x, n=n: F.pmod(x, F.lit(n))))
+                around_world = F.lit(round(period[i] / width))
+                there = F.pmod(there, around_world)
+                block = F.array_distinct(_wrapped(block, around_world))
             placed, around = placed.withColumn(key, there), around.withColumn(key, F.explode(block))
         near = around.join(placed, keys).drop(*keys).withColumn("_distance", distance)
         near = near.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k)
@@ -100,6 +100,10 @@ def nearest_k(
     return out if within is None else out.where(F.col("_distance") <= within)
 
 
+def _wrapped(cells: Column, count: Column) -> Column:
+    return F.transform(cells, lambda x: F.pmod(x, count))
+
+
 def nearest_on_globe(
     queries: DataFrame, donors: DataFrame, query_at: tuple[str, str], donor_at: tuple[str, str],
     donor_id: str, k: int, within: Column | None = None, decimals: int | None = None,

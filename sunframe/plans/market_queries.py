@@ -86,7 +86,7 @@ def _buyer_to_sellers(spark, sf):
 
 
 _ROI = """CASE WHEN coalesce(capacity_kw, 0) = 0 OR v <= 0 THEN 0.0
-    ELSE least(capacity_kw * 9125 * 5 / v * 100, 25.0) END"""
+    ELSE least(capacity_kw * 9125 / v * 100, 25.0) END"""
 _INVESTOR_SCORE = f"""greatest(0.0, least(100.0, {_DISTANCE[50]}
     + CASE WHEN coalesce(system_efficiency, 0) <> 0 AND coalesce(system_age_years, 0) <> 0
            THEN least(30.0, greatest(5.0, system_efficiency * 0.3::DOUBLE - 20 - system_age_years * 2)) ELSE 15.0 END
@@ -99,9 +99,9 @@ _INVESTOR_SCORE = f"""greatest(0.0, least(100.0, {_DISTANCE[50]}
         {r(_INVESTOR_SCORE, 'match_score')}, {r('km', 'distance_km')},
         {_risk('credit_rating', 'financial_score')} AS transaction_risk, {r('v', 'recommended_price_rupees')},
         {r('roi', 'profit_potential')}, {r('v', 'investment_required')}, {r('balance', 'investor_available_capital')},
-        balance >= v AS can_invest, {r('coalesce(capacity_kw, 0) * 45625 / 5 * 5 ', 'estimated_annual_revenue')},
-        {r('CASE WHEN coalesce(capacity_kw, 0) > 0 THEN v / (capacity_kw * 45625 + 1) ELSE 0 END', 'estimated_payback_years')},
-        {r('CASE WHEN v > 0 THEN coalesce(capacity_kw, 0) * 45625 / v * 100 ELSE 0 END', 'roi_annual_percentage')}
+        balance >= v AS can_invest, {r('coalesce(capacity_kw, 0) * 9125', 'estimated_annual_revenue')},
+        {r('CASE WHEN coalesce(capacity_kw, 0) > 0 THEN v / (capacity_kw * 9125 + 1) ELSE 0 END', 'estimated_payback_years')},
+        {r('CASE WHEN v > 0 THEN coalesce(capacity_kw, 0) * 9125 / v * 100 ELSE 0 END', 'roi_annual_percentage')}
     FROM (SELECT *, row_number() OVER (PARTITION BY investor_id ORDER BY roi DESC, seller_id) AS k FROM (
         SELECT *, {_ROI} AS roi FROM (
             SELECT s.*, i.investor_id, i.available_balance AS balance, i.max_investment, i.willing_to_travel_km AS reach,
@@ -224,9 +224,9 @@ def _deal_terms(spark, sf):
 
 @query("investment_terms", f"""SELECT buyer_id, {r('v', 'investment_required')},
     {r('available_balance', 'investor_available_capital')}, available_balance >= v AS can_invest,
-    {r('coalesce(capacity_kw, 0) * 45625', 'estimated_annual_revenue')},
-    {r('CASE WHEN coalesce(capacity_kw, 0) > 0 THEN v / (capacity_kw * 45625 + 1) ELSE 0 END', 'estimated_payback_years')},
-    {r('CASE WHEN v > 0 THEN coalesce(capacity_kw, 0) * 45625 / v * 100 ELSE 0 END', 'roi_annual_percentage')} FROM deal""",
+    {r('coalesce(capacity_kw, 0) * 9125', 'estimated_annual_revenue')},
+    {r('CASE WHEN coalesce(capacity_kw, 0) > 0 THEN v / (capacity_kw * 9125 + 1) ELSE 0 END', 'estimated_payback_years')},
+    {r('CASE WHEN v > 0 THEN coalesce(capacity_kw, 0) * 9125 / v * 100 ELSE 0 END', 'roi_annual_percentage')} FROM deal""",
        "buyers sellers", f"{_VALUED}, {_DEAL}")
 def _investment_terms(spark, sf):
     terms = deals.investment_terms(F.col("capacity_kw"), F.col("v"), F.col("available_balance"))
@@ -314,8 +314,9 @@ _MONEY = f"""buyer_id, id AS host_id, concat(city, ', ', state) AS location, ind
     {big('points', 'match_score')}, points >= 80 AS is_recommended"""
 
 
-@query("find_opportunities", f"""SELECT {_MONEY}, {big('k', 'opportunity_rank')} FROM (
-    SELECT *, row_number() OVER (PARTITION BY buyer_id ORDER BY points DESC, id) AS k FROM opportunity) WHERE k <= 5""",
+@query("find_opportunities", f"""SELECT {_MONEY}, {big('place_no', 'opportunity_rank')} FROM (
+    SELECT *, row_number() OVER (PARTITION BY buyer_id ORDER BY points DESC, id) AS place_no FROM opportunity)
+    WHERE place_no <= 5""",
        "host_spaces industries space_buyers", f"{_HOSTS}, {_OPPORTUNITY}")
 def _find_opportunities(spark, sf):
     return investing.find_opportunities(

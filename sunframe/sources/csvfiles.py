@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,16 +26,19 @@ def _first_lines(spark: SparkSession, path: str) -> DataFrame:
             .where(F.col("line_no") <= HEADER_SCAN).select("file", "line_no", "line"))
 
 
-def _best_delimiter(lines: str = "lines"):
-    """The candidate found equally often, and at least once, in every sampled line."""
-    choice = F.lit(",")
-    best = F.lit(0)
+def _occurrences(lines: Column, mark: str) -> Column:
+    return F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit(mark), F.lit(""))))
+
+
+def _best_delimiter(lines: str = "lines") -> Column:
+    """The candidate found in most of the sampled lines, and there most evenly, wins."""
+    choice, best = F.lit(","), F.lit(0.0)
     for d in DELIMITERS:
-        counts = F.transform(F.col(lines), lambda x, d=d: F.length(x) - F.length(F.replace(x, F.lit(d), F.lit(""))))
-        steady = F.when(F.array_min(counts) == F.array_max(counts), F.array_min(counts)).otherwise(
-            F.when(F.array_min(counts) > 0, F.lit(0)).otherwise(F.lit(0)))
-        choice = F.when(steady > best, d).otherwise(choice)
-        best = F.greatest(best, steady)
+        counts = _occurrences(F.col(lines), d)
+        usual = F.array_max(counts)
+        even = F.size(F.filter(counts, lambda n: (n == usual) & (n > 0))) / F.size(counts)
+        choice = F.when(even > best, d).otherwise(choice)
+        best = F.greatest(best, even)
     return choice
 
 
