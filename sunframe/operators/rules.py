@@ -34,8 +34,8 @@ def price_quote(df: DataFrame, supply: str, demand: str, tariff: str, model_pric
     price = F.coalesce(F.col(model_price), F.col(tariff)) if model_price else F.col(tariff)
     return df.withColumns({
         "recommended_price": price,
-        "price_min": F.greatest(F.lit(MIN_PRICE), price * 0.9),
-        "price_max": F.least(F.lit(MAX_PRICE), price * 1.1),
+        "price_min": F.when(price.isNotNull(), F.greatest(F.lit(MIN_PRICE), price * 0.9)),
+        "price_max": F.when(price.isNotNull(), F.least(F.lit(MAX_PRICE), price * 1.1)),
         "supply_demand_ratio": supply_demand_ratio(F.col(supply), F.col(demand)),
         "optimal_trading_hours": F.array(*[F.lit(h) for h in TRADING_HOURS]),
     })

@@ -34,6 +34,9 @@ class SeriesOrder:
     def plain_window(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(self.ts, *self.tiebreak)
 
+    def backward_window(self) -> WindowSpec:
+        return Window.partitionBy(*self.keys).orderBy(F.desc(self.ts), *[F.desc(c) for c in self.tiebreak])
+
     def resolve(self, df: DataFrame) -> "SeriesOrder":
         """Decide once, from a pre-aggregated row count per key."""
         if self.long is not None:
@@ -81,7 +84,8 @@ def windowed(
 
     def run(rows: DataFrame, window: WindowSpec) -> DataFrame:
         for stage in stages:
-            rows = rows.withColumns(stage(window))
+            added = stage(window)
+            rows = rows.withColumns(added) if added else rows
         return rows
 
     if not order.long:
@@ -115,18 +119,20 @@ def neighbours(df: DataFrame, order: SeriesOrder, columns: list[str]) -> DataFra
     def known(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.struct(F.col(_ROW).alias("row"), F.col(c).alias("value")))
 
-    def around(window: WindowSpec) -> dict[str, Column]:
-        back = window.rowsBetween(Window.unboundedPreceding, 0)
-        ahead = window.rowsBetween(0, Window.unboundedFollowing)
+    def around(forward: WindowSpec, backward: WindowSpec) -> dict[str, Column]:
+        # looking ahead runs over the reversed order: a frame that reaches to the end of the
+        # partition would be evaluated anew for every row
         out = {}
         for c in columns:
-            out[f"{c}_prev"] = F.last(known(c), ignorenulls=True).over(back)
-            out[f"{c}_next"] = F.first(known(c), ignorenulls=True).over(ahead)
+            out[f"{c}_prev"] = F.last(known(c), ignorenulls=True).over(
+                forward.rowsBetween(Window.unboundedPreceding, 0))
+            out[f"{c}_next"] = F.last(known(c), ignorenulls=True).over(
+                backward.rowsBetween(Window.unboundedPreceding, 0))
         return out
 
     if not order.long:
         numbered = df.withColumn(_ROW, F.row_number().over(order.plain_window()).cast("long"))
-        return numbered.withColumns(around(order.plain_window()))
+        return numbered.withColumns(around(order.plain_window(), order.backward_window()))
 
     blocked = number_rows(df, order).withColumn(
         _BLOCK, F.floor((F.col(_ROW) - 1) / F.lit(order.block_rows)))
@@ -137,18 +143,18 @@ def neighbours(df: DataFrame, order: SeriesOrder, columns: list[str]) -> DataFra
             F.min_by(known(c), F.when(F.col(c).isNotNull(), F.col(_ROW))).alias(f"_first_{c}"),
         )
     ])
-    blocks = Window.partitionBy(*order.keys).orderBy(_BLOCK)
-    back = blocks.rowsBetween(Window.unboundedPreceding, -1)
-    ahead = blocks.rowsBetween(1, Window.unboundedFollowing)
+    blocks = Window.partitionBy(*order.keys)
+    back = blocks.orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = blocks.orderBy(F.desc(_BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select(
         *[F.col(g).alias(f"_o_{g}") for g in grouped],
         *[F.last(f"_last_{c}", ignorenulls=True).over(back).alias(f"_carry_{c}") for c in columns],
-        *[F.first(f"_first_{c}", ignorenulls=True).over(ahead).alias(f"_ahead_{c}") for c in columns],
+        *[F.last(f"_first_{c}", ignorenulls=True).over(ahead).alias(f"_ahead_{c}") for c in columns],
     )
     match = [blocked[g].eqNullSafe(carried[f"_o_{g}"]) for g in grouped]
     joined = blocked.join(carried, match)
-    window = Window.partitionBy(*grouped).orderBy(_ROW)
-    filled = joined.withColumns(around(window))
+    window = Window.partitionBy(*grouped)
+    filled = joined.withColumns(around(window.orderBy(_ROW), window.orderBy(F.desc(_ROW))))
     for c in columns:
         filled = filled.withColumns({
             f"{c}_prev": F.coalesce(f"{c}_prev", f"_carry_{c}"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame, WindowSpec
 
 from ..operators import cleaning, features
@@ -45,9 +43,10 @@ def prepare_consumption(df: DataFrame, order: SeriesOrder, columns: list[str] |
     filled = materialize(cleaning.fill_mean(
         cleaning.fill_seasonal(df, order.ts, columns), columns), "consumption-filled")
     cleaned, _ = cleaning.outliers_iqr(filled, columns)
+    use = [c for c in ("power_kw",) if c in columns]
 
     def history(w: WindowSpec) -> dict[str, Column]:
-        return {**features.lag_columns(w, ["power_kw"], lags), **features.rolling_columns(w, ["power_kw"], sizes)}
+        return {**features.lag_columns(w, use, lags), **features.rolling_columns(w, use, sizes)}
 
     made = windowed(cleaned, order, history, max(max(lags), max(sizes) - 1))
     made = features.weather_features(features.time_features(made, order.ts))
@@ -75,6 +74,3 @@ def consumption_pipeline(df: DataFrame, order: SeriesOrder, scaler: Scaler | Non
     """Seasonal fill, bound, build features, drop incomplete rows, scale."""
     return _scaled(prepare_consumption(df, order, **options), order, scaler, "consumption-features")
 
-
-def resolved(order: SeriesOrder, df: DataFrame) -> SeriesOrder:
-    return replace(order, long=order.resolve(df).long)

@@ -68,69 +68,81 @@ def broken_encoding(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.col("_metadata.file_path").alias("file")).distinct()
 
 
-def _string_schema(names: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(n, T.StringType()) for n in names])
-
-
-def _read_layout(spark: SparkSession, files: list[str], names: list[str], delimiter: str, encoding: str) -> DataFrame:
-    schema = _string_schema(names).add("_bad", T.StringType())
+def _read_plain(spark: SparkSession, files: list[str], names: list[str], delimiter: str, encoding: str) -> DataFrame:
+    """Files of one layout whose header is their first line."""
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_bad"]])
     raw = (spark.read.schema(schema).option("header", True).option("sep", delimiter)
            .option("encoding", encoding).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_bad").csv(files))
     bare = F.regexp_replace("_bad", '"[^"]*"', "")
     fields = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
-    kept = raw.where(F.col("_bad").isNull() | (fields <= len(names)))
+    # the parser does not hand out the corrupt record alone, so the test looks at a data column too
+    short = (fields <= len(names)) | (F.length(F.col(f"`{names[0]}`")) < 0)
+    kept = raw.where(F.col("_bad").isNull() | short)
     return kept.select(*[F.col(f"`{n}`") for n in names], F.col("_metadata.file_path").alias("source_file"))
 
 
-def read_csv_tolerant(spark: SparkSession, path: str) -> DataFrame:
-    """All files of a glob as strings plus ``source_file``.
-
-    Delimiter and header are found per file; rows with too many fields are skipped, short rows
-    padded; files that are not UTF-8 are read as Latin-1. Files are read together per layout.
+def _read_after_header(spark: SparkSession, files: list[str], names: list[str], delimiter: str) -> DataFrame:
+    """Irradiance files whose header follows metadata lines; adds ``event_ts``."""
+    schema = ", ".join(f"`{n}` STRING" for n in names)
+    lines = spark.read.text(files).select(
+        "value", F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("_start"))
+    cells = lines.withColumn("_r", F.from_csv("value", schema, {"sep": delimiter})).select(
+        "_r.*", "source_file", "_start")
+    timed = F.lit(True)
+    for c in TIME_FIELDS:
+        timed = timed & F.col(c).try_cast("int").isNotNull()
+    # metadata and header lines sit at the start of a file and carry no numbers as time
+    data = cells.where(timed | (F.col("_start") > 0)).drop("_start")
+    parts = [F.col(c).try_cast("int") for c in TIME_FIELDS]
+    data = data.withColumn("event_ts", F.make_timestamp_ntz(*parts, F.lit(0)))
+    return data.withColumns({
+        c: F.col(f"`{c}`").try_cast("int" if c in TIME_FIELDS else "double") for c in names})
+
+
+def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """All files of a glob by kind (nsrdb, meter, weather, unknown), each with ``source_file``.
+
+    Files are read together per layout, so the number of files does not set the parallelism.
     """
     latin = {r["file"] for r in broken_encoding(spark, path).collect()}
     layouts: dict[tuple, list[str]] = {}
     for r in file_layouts(spark, path).collect():  # one row per file, like the file listing itself
         encoding = "ISO-8859-1" if r["file"] in latin else "UTF-8"
-        layouts.setdefault((r["delimiter"], r["header"], encoding), []).append(r["file"])
-    out = None
-    for (delimiter, header, encoding), files in sorted(layouts.items()):
-        names = [n.strip().strip('"') for n in header.split(delimiter)]
-        part = _read_layout(spark, files, names, delimiter, encoding)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
+        layouts.setdefault((r["delimiter"], r["header"], r["is_nsrdb"], encoding), []).append(r["file"])
+    tables: dict[str, DataFrame] = {}
+    for (delimiter, header, is_nsrdb, encoding), files in sorted(layouts.items()):
+        names = [n.strip().strip('"') for n in header.split(delimiter) if n.strip()]
+        if is_nsrdb:
+            kind, part = "nsrdb", _read_after_header(spark, files, names, delimiter)
+        else:
+            kind, part = detect_source(names), _read_plain(spark, files, names, delimiter, encoding)
+        tables[kind] = tables[kind].unionByName(part, allowMissingColumns=True) if kind in tables else part
+    if not tables:
         raise FileNotFoundError(path)
+    return tables
+
+
+def read_csv_tolerant(spark: SparkSession, path: str) -> DataFrame:
+    """All files of a glob as strings plus ``source_file``.
+
+    Delimiter and header are found per file; rows with too many fields are skipped, short rows
+    padded; files that are not UTF-8 are read as Latin-1.
+    """
+    out = None
+    for part in read_tables(spark, path).values():
+        text = part.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in part.columns])
+        out = text if out is None else out.unionByName(text, allowMissingColumns=True)
     return out
 
 
 def read_nsrdb(spark: SparkSession, path: str) -> DataFrame:
     """Irradiance files with metadata lines before the header; adds ``event_ts`` and ``source_file``."""
-    layouts: dict[tuple, list[str]] = {}
-    for r in file_layouts(spark, path).where("is_nsrdb").collect():
-        layouts.setdefault((r["delimiter"], r["header"]), []).append(r["file"])
-    out = None
-    for (delimiter, header), files in sorted(layouts.items()):
-        names = [n.strip() for n in header.split(delimiter) if n.strip()]
-        schema = ", ".join(f"`{n}` STRING" for n in names)
-        lines = spark.read.text(files).select(
-            "value", F.col("_metadata.file_path").alias("source_file"),
-            F.col("_metadata.file_block_start").alias("_start"))
-        cells = lines.withColumn("_r", F.from_csv("value", schema, {"sep": delimiter})).select(
-            "_r.*", "source_file", "_start")
-        timed = F.lit(True)
-        for c in TIME_FIELDS:
-            timed = timed & F.col(c).try_cast("int").isNotNull()
-        # metadata and header lines sit at the start of a file and carry no numbers as time
-        data = cells.where(timed | (F.col("_start") > 0)).drop("_start")
-        parts = [F.col(c).try_cast("int") for c in TIME_FIELDS]
-        data = data.withColumn("event_ts", F.make_timestamp_ntz(*parts, F.lit(0)))
-        for c in names:
-            data = data.withColumn(c, F.col(f"`{c}`").try_cast("int" if c in TIME_FIELDS else "double"))
-        out = data if out is None else out.unionByName(data, allowMissingColumns=True)
-    if out is None:
+    tables = read_tables(spark, path)
+    if "nsrdb" not in tables:
         raise ValueError(f"no file with a {HEADER_MARK} header in {path}")
-    return out
+    return tables["nsrdb"]
 
 
 def detect_source(columns: list[str]) -> str:

@@ -21,7 +21,8 @@ _NAMES = {"temperature_2m": "temperature", "relative_humidity_2m": "humidity", "
 def parse_forecast_json(df: DataFrame, key: str, text: str) -> DataFrame:
     """Parallel hourly arrays to rows; missing radiation is 0, other gaps take their neighbours."""
     parsed = df.select(key, F.from_json(text, FORECAST)["hourly"].alias("h"))
-    arrays = [F.col("h.time").alias("time")] + [F.col(f"h.{a}").alias(a) for a in _NAMES]
+    empty = F.array().cast("array<double>")  # a missing array must not take the other ones with it
+    arrays = [F.col("h.time").alias("time")] + [F.coalesce(F.col(f"h.{a}"), empty).alias(a) for a in _NAMES]
     rows = parsed.select(key, F.col("h.direct_radiation").isNull().alias("_dark"),
                          F.inline(F.arrays_zip(*arrays)))
     named = rows.select(

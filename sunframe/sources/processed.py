@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, features, validation
+from ..operators import cleaning, validation
 from ..operators.series import SeriesOrder, top_k_per_key
-from .csvfiles import detect_source, read_csv_tolerant
+from ..plans import pipelines
+from ..session import materialize
+from .csvfiles import file_layouts, read_tables
 
 
 def write_processed(df: DataFrame, path: str, source: str, run_ts: str, kind: str = "parquet") -> None:
@@ -32,35 +34,48 @@ def upsert_users(registrations: DataFrame, user: str, latest_first: list[Column]
     return top_k_per_key(registrations, [user], latest_first, 1)
 
 
-def batch_preprocess(spark: SparkSession, path: str, output: str, run_ts: str) -> DataFrame:
-    """Read, check, clean and write all files of a glob in one job; one summary row per file.
+def _typed(df: DataFrame, kind: str) -> DataFrame:
+    """Text columns of a contract as their declared types; canonical names."""
+    df = validation.canonicalize_columns(df, kind)
+    target = {"datetime": "timestamp_ntz", "int": "bigint"}
+    casts = {n: F.col(f"`{n}`").try_cast(target.get(t, "double"))
+             for n, t, *_ in validation.CONTRACTS.get(kind, []) if n in df.columns}
+    return df.withColumns(casts) if casts else df
 
-    Files of one kind are processed together and keyed by file, so parallelism follows the data,
-    not the number of files.
+
+def _prepared(df: DataFrame, kind: str, capacity_kw: float) -> DataFrame:
+    ts = "event_ts" if kind == "nsrdb" else "timestamp"
+    if kind not in ("nsrdb", "meter") or ts not in df.columns:
+        return df
+    order = SeriesOrder(("source_file",), ts)
+    numbers = cleaning.numeric_columns(df)
+    if kind == "nsrdb":
+        return pipelines.solar_pipeline(df, order, capacity_kw, columns=numbers)[0]
+    return pipelines.consumption_pipeline(df, order, columns=numbers)[0]
+
+
+def batch_preprocess(spark: SparkSession, path: str, output: str, run_ts: str, capacity_kw: float = 5.0) -> DataFrame:
+    """Read, prepare and write all files of a glob; one summary row per file.
+
+    Files of one kind are one table keyed by file, so parallelism follows the data, not the
+    number of files. The scaler is fitted on the whole table.
     """
-    from .csvfiles import file_layouts
-
-    raw = read_csv_tolerant(spark, path)
-    kind = detect_source([c for c in raw.columns if c != "source_file"])
-    known = [c for c in validation.CONTRACTS.get(kind, [])]
-    casts = {}
-    for name, type_, *_ in known:
-        if name in raw.columns:
-            casts[name] = F.col(f"`{name}`").try_cast({"datetime": "timestamp", "int": "long"}.get(type_, "double"))
-    typed = validation.canonicalize_columns(raw.withColumns(casts) if casts else raw, kind)
-    cleaned = typed
-    if kind == "meter" and "timestamp" in typed.columns:
-        order = SeriesOrder(("source_file",), "timestamp")
-        numbers = cleaning.numeric_columns(typed)
-        cleaned = cleaning.fill_linear(typed.where(F.col("timestamp").isNotNull()), order, numbers)
-        cleaned = features.time_features(cleaned, "timestamp")
-    write_processed(cleaned, output, kind, run_ts)
-    done = read_latest(spark, output, kind).groupBy("source_file").agg(F.count("*").alias("rows_output"))
-    seen = raw.groupBy("source_file").agg(F.count("*").alias("rows_input"))
-    files = file_layouts(spark, path).select(F.col("file").alias("source_file"))
-    out = files.join(seen, "source_file", "left").join(done, "source_file", "left").na.fill(0)
-    return out.select(
-        F.element_at(F.split("source_file", "/"), -1).alias("file"), F.lit(kind).alias("source"),
-        F.when(F.col("rows_input") > 0, "success").otherwise("error").alias("status"),
-        "rows_input", "rows_output", (F.col("rows_input") - F.col("rows_output")).alias("rows_removed"),
-        F.when(F.col("rows_input") == 0, "no readable rows").alias("error"))
+    names = {"file": F.element_at(F.split("source_file", "/"), -1)}
+    out = None
+    for kind, raw in read_tables(spark, path).items():
+        table = materialize(_typed(raw, kind), f"raw-{kind}")
+        write_processed(_prepared(table, kind, capacity_kw), output, kind, run_ts)
+        seen = table.groupBy("source_file").agg(F.count("*").alias("rows_input"))
+        done = read_latest(spark, output, kind).groupBy("source_file").agg(F.count("*").alias("rows_output"))
+        part = seen.join(done, "source_file", "left").select(
+            names["file"].alias("file"), F.lit(kind).alias("source"), "rows_input",
+            F.coalesce("rows_output", F.lit(0)).alias("rows_output"))
+        out = part if out is None else out.unionByName(part)
+    files = file_layouts(spark, path).select(F.col("file").alias("source_file")).select(names["file"].alias("file"))
+    summary = files.join(out, "file", "left")
+    rows_in, rows_out = F.coalesce("rows_input", F.lit(0)), F.coalesce("rows_output", F.lit(0))
+    return summary.select(
+        "file", F.coalesce("source", F.lit("unknown")).alias("source"),
+        F.when(rows_in > 0, "success").otherwise("error").alias("status"),
+        rows_in.alias("rows_input"), rows_out.alias("rows_output"), (rows_in - rows_out).alias("rows_removed"),
+        F.when(rows_in == 0, "no readable rows").alias("error"))

@@ -137,27 +137,30 @@ def score(df: DataFrame, model: PipelineModel, keep: list[str]) -> DataFrame:
     return models.predict(model, df).select(*keep, "prediction")
 
 
-def hourly_ewma(df: DataFrame, device: str, ts: str, power: str, span: int = 3, delay: str = "1 hour") -> DataFrame:
-    """Exponential mean over hourly means, its state carried per device across batches.
+def folder_of(sink: DataFrame) -> str:
+    """The folder a sink table was written to, for a stream that continues from it."""
+    return sink.inputFiles()[0].rsplit("/", 1)[0]
 
-    Hours are aggregated first, so a batch hands a device's state a few rows, not its readings.
+
+def ewma(hours: DataFrame, device: str, hour: str, value: str, span: int = 3) -> DataFrame:
+    """Exponential mean over hourly means, its level carried per device across batches.
+
+    Reads the table of ``energy_tumbling``: a batch hands a device's state its newly closed
+    hours, a few rows, never its readings.
     """
     alpha = 2 / (span + 1)
-    hourly = (df.withWatermark(ts, delay).groupBy(F.window(ts, "1 hour").alias("w"), device)
-              .agg(F.avg(power).alias("mean_kw"))
-              .select(device, F.col("w.start").alias("hour_ts"), "mean_kw"))
 
     def carry(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         level = state.get[0] if state.exists else None
-        rows = pd.concat(list(parts)).sort_values("hour_ts")
+        rows = pd.concat(list(parts)).sort_values(hour)
         out = []
-        for value in rows["mean_kw"]:
-            level = value if level is None else level * (1 - alpha) + value * alpha
+        for x in rows[value]:
+            level = x if level is None else level * (1 - alpha) + x * alpha
             out.append(level)
         state.update((float(level),))
         yield rows.assign(ewma_kw=out)
 
-    device_type = dict(df.dtypes)[device]
-    return hourly.groupBy(device).applyInPandasWithState(
-        carry, f"{device} {device_type}, hour_ts timestamp, mean_kw double, ewma_kw double", "level double",
-        "append", GroupStateTimeout.NoTimeout)
+    types = dict(hours.dtypes)
+    schema = f"{device} {types[device]}, {hour} {types[hour]}, {value} double, ewma_kw double"
+    return hours.select(device, hour, value).groupBy(device).applyInPandasWithState(
+        carry, schema, "level double", "append", GroupStateTimeout.NoTimeout)
