@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_RADIUS_KM, haversine_km
+from ..functions.geo import EARTH_RADIUS_KM, KM_PER_DEGREE, haversine_km, planar_km
 from ..session import materialize
 
 CELL_ROWS = 500
@@ -24,19 +24,19 @@ def nearest_k(
     queries: DataFrame, donors: DataFrame, query_at: list[str], donor_at: list[str], donor_id: str,
     k: int, distance: Column, outside: Callable[[float], Column],
     within: Column | None = None, period: list[float | None] | None = None,
-    cell_rows: int = CELL_ROWS,
+    cell_rows: int = CELL_ROWS, same: tuple[tuple[str, str], ...] = (),
 ) -> DataFrame:
     """Distinct query spots joined to their ``k`` nearest donors.
 
     ``distance`` compares a query with a donor, ``outside(width)`` bounds from below the distance
     of every donor outside the 3^d block of cells of that width, ``within`` is the largest
-    distance of interest (a query column), ``period`` the wrap-around of each coordinate.
-    Result: query columns, donor columns and ``_distance``; ties go to the lower donor id.
+    distance of interest (a query column), ``period`` the wrap-around of each coordinate and
+    ``same`` lists (query, donor) columns that must be equal. Result: query columns, donor columns and ``_distance``; ties go to the lower donor id.
     """
     dims = range(len(query_at))
     period = period or [None] * len(query_at)
     qs = queries.columns
-    copies = Window.partitionBy(*donor_at).orderBy(donor_id)
+    copies = Window.partitionBy(*donor_at, *[d for _, d in same]).orderBy(donor_id)
     donors = materialize(donors.withColumn("_copy", F.row_number().over(copies))
                          .where(F.col("_copy") <= k).drop("_copy"), "nearest-donors")
     rest = materialize(queries.distinct(), "nearest-queries")
@@ -55,7 +55,8 @@ def nearest_k(
         return [F.floor(F.col(c) / width) for c in columns]
 
     for _ in range(40):
-        crowded = donors.groupBy(*cells(donor_at, base / 2 ** level)).count().agg(F.max("count")).first()[0]
+        crowded = donors.groupBy(*[d for _, d in same], *cells(donor_at, base / 2 ** level)).count().agg(
+            F.max("count")).first()[0]
         if crowded <= cell_rows:
             break
         level += 1
@@ -75,7 +76,9 @@ def nearest_k(
                 there = F.pmod(there, around_world)
                 block = F.array_distinct(_wrapped(block, around_world))
             placed, around = placed.withColumn(key, there), around.withColumn(key, F.explode(block))
-        near = around.join(placed, keys).drop(*keys).withColumn("_distance", distance)
+        placed = placed.withColumnsRenamed({key: f"{key}_there" for key in keys})
+        match = [around[key] == placed[f"{key}_there"] for key in keys] + [around[q] == placed[d] for q, d in same]
+        near = around.join(placed, match).drop(*keys, *[f"{key}_there" for key in keys]).withColumn("_distance", distance)
         near = near.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k)
         if last:
             sure = F.lit(True)
@@ -107,9 +110,16 @@ def _wrapped(cells: Column, count: Column) -> Column:
 def nearest_on_globe(
     queries: DataFrame, donors: DataFrame, query_at: tuple[str, str], donor_at: tuple[str, str],
     donor_id: str, k: int, within: Column | None = None, decimals: int | None = None,
-    cell_rows: int = CELL_ROWS,
+    cell_rows: int = CELL_ROWS, same: tuple[tuple[str, str], ...] = (), planar: bool = False,
 ) -> DataFrame:
-    """The ``k`` nearest donors in km; ``decimals`` ranks by the rounded distance."""
+    """The ``k`` nearest donors in km; ``decimals`` ranks by the rounded distance.
+
+    ``planar`` measures in degrees times 111 km.
+    """
+    if planar:
+        flat = planar_km(F.col(query_at[0]), F.col(query_at[1]), F.col(donor_at[0]), F.col(donor_at[1]))
+        return nearest_k(queries, donors, list(query_at), list(donor_at), donor_id, k, flat,
+                         lambda width: F.lit(width * KM_PER_DEGREE * (1 - 1e-9)), within, None, cell_rows, same)
     km = haversine_km(F.col(query_at[0]), F.col(query_at[1]), F.col(donor_at[0]), F.col(donor_at[1]))
     slack = 0.0
     if decimals is not None:
@@ -122,4 +132,4 @@ def nearest_on_globe(
         return F.least(F.radians(F.lit(width)) * EARTH_RADIUS_KM, east_west) * (1 - 1e-9) - slack
 
     return nearest_k(queries, donors, list(query_at), list(donor_at), donor_id, k, km, outside, within,
-                     [None, 360.0], cell_rows)
+                     [None, 360.0], cell_rows, same)
