@@ -11,7 +11,6 @@ DELIMITERS = [",", ";", "\t", "|"]
 SAMPLE_LINES = 5
 HEADER_SCAN = 25
 HEADER_MARK = "year,month,day,hour,minute"
-REPLACEMENT = "�"
 TIME_FIELDS = ["Year", "Month", "Day", "Hour", "Minute"]
 
 
@@ -64,7 +63,7 @@ def file_layouts(spark: SparkSession, path: str) -> DataFrame:
 
 def broken_encoding(spark: SparkSession, path: str) -> DataFrame:
     """Files whose text is not valid UTF-8."""
-    text = spark.read.text(path).where(F.col("value").contains(REPLACEMENT))
+    text = spark.read.text(path).where(~F.is_valid_utf8("value"))
     return text.select(F.col("_metadata.file_path").alias("file")).distinct()
 
 
