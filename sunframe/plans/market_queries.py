@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..fixtures import view
 from ..functions import deals
-from ..operators import investing, matching
-from .registry import big, query, r
+from ..operators import enrich, investing, matching
+from .registry import BY_DEVICE, big, query, r
 
 
 def _km(a: str, b: str) -> str:
@@ -183,13 +183,14 @@ def _party_risk(spark, sf):
 # Each buyer against the seller with the matching number; a plain equality join.
 _DEAL = """deal AS (SELECT b.*, s.capacity_kw, s.v, s.system_age_years, s.system_efficiency, s.seller_id,
     CAST(buyer_id % 60 AS DOUBLE) AS km, b.credit_rating AS b_rating
-    FROM buyers b JOIN valued s ON s.seller_id = b.buyer_id % 10)"""
+    FROM buyers b JOIN valued s ON s.seller_id = b.buyer_id % (SELECT count(*) FROM sellers))"""
 
 
 def _deal(spark, sf):
     sellers = _valued(spark, sf).select("seller_id", "capacity_kw", "v", "system_age_years", "system_efficiency")
     buyers = view(spark, sf, "buyers")
-    return buyers.join(sellers, F.col("buyer_id") % 10 == F.col("seller_id")).withColumn(
+    n = sellers.count()
+    return buyers.join(sellers, F.col("buyer_id") % n == F.col("seller_id")).withColumn(
         "km", (F.col("buyer_id") % 60).cast("double"))
 
 
@@ -202,7 +203,7 @@ def _buyer_seller_score(spark, sf):
 
 _INVEST_DEAL = """deal AS (SELECT *, available_balance AS balance, budget_rupees AS max_investment FROM (
     SELECT b.buyer_id, b.available_balance, b.budget_rupees, b.credit_rating, s.v, s.system_age_years, s.system_efficiency,
-    CAST(buyer_id % 60 AS DOUBLE) AS km FROM buyers b JOIN valued s ON s.seller_id = b.buyer_id % 10))"""
+    CAST(buyer_id % 60 AS DOUBLE) AS km FROM buyers b JOIN valued s ON s.seller_id = b.buyer_id % (SELECT count(*) FROM sellers)))"""
 
 
 @query("investor_seller_score", f"SELECT buyer_id, {r(_INVESTOR_SCORE, 'score')} FROM deal", "buyers sellers",
@@ -323,12 +324,13 @@ def _find_opportunities(spark, sf):
         view(spark, sf, "space_buyers"), view(spark, sf, "host_spaces"), view(spark, sf, "industries"), 5)
 
 
-@query("score_opportunity", f"SELECT {_MONEY} FROM opportunity WHERE id = buyer_id % 10",
+@query("score_opportunity", f"SELECT {_MONEY} FROM opportunity WHERE id = buyer_id % (SELECT count(*) FROM host_spaces)",
        "host_spaces industries space_buyers", f"{_HOSTS}, {_OPPORTUNITY}")
 def _score_opportunity(spark, sf):
     buyers = view(spark, sf, "space_buyers")
-    pairs = buyers.select("buyer_id", (F.col("buyer_id") % 10).alias("host_id"))
-    return investing.score_opportunity(pairs, buyers, view(spark, sf, "host_spaces"), view(spark, sf, "industries"))
+    hosts = view(spark, sf, "host_spaces")
+    pairs = buyers.select("buyer_id", (F.col("buyer_id") % hosts.count()).alias("host_id"))
+    return investing.score_opportunity(pairs, buyers, hosts, view(spark, sf, "industries"))
 
 
 @query("opportunity_finance", f"""SELECT host_id, {r('profit', 'profit_per_kw')}, {r('roi', 'roi_percentage')},
@@ -370,14 +372,26 @@ def _match_metrics(spark, sf):
 
 
 @query("weather_enrich", f"""
-    SELECT reading_id, {r('coalesce(w.irradiance, (SELECT NULL))', 'irradiance')} FROM readings r
-    LEFT JOIN (SELECT date_trunc('hour', event_ts) AS hour_ts, device_id, avg(ghi) AS irradiance FROM irradiance
-               WHERE device_id % 2 = 0 GROUP BY 1, 2) w
+    SELECT reading_id, {r('w.irradiance', 'irradiance')}, {r('w.zenith', 'zenith')} FROM readings r
+    LEFT JOIN (SELECT date_trunc('hour', event_ts) AS hour_ts, device_id, avg(ghi) AS irradiance, avg(zenith_angle) AS zenith
+               FROM irradiance WHERE zenith_angle < 60 GROUP BY 1, 2) w
       ON w.hour_ts = date_trunc('hour', r.event_ts) AND w.device_id = r.device_id""", "readings irradiance")
 def _weather_enrich(spark, sf):
-    from ..operators.enrich import weather_enrich
+    """Hours without a high sun have no irradiance report."""
+    reports = view(spark, sf, "irradiance").where(F.col("zenith_angle") < 60).groupBy(
+        F.date_trunc("hour", "event_ts").alias("hour_ts"), "device_id").agg(
+        F.avg("ghi").alias("irradiance"), F.avg("zenith_angle").alias("zenith"))
+    df = view(spark, sf, "readings").select("reading_id", "device_id", "event_ts")
+    return enrich.weather_enrich(df, reports, ["device_id"], "event_ts", "hour_ts", ["irradiance", "zenith"]).select(
+        "reading_id", "irradiance", "zenith")
+
 
-    weather = view(spark, sf, "irradiance").where(F.col("device_id") % 2 == 0).groupBy(
-        F.date_trunc("hour", "event_ts").alias("hour_ts"), "device_id").agg(F.avg("ghi").alias("irradiance"))
+@query("weather_as_of", f"""
+    SELECT r.reading_id, {r('w.ghi', 'ghi')} FROM readings r ASOF LEFT JOIN (
+        SELECT device_id, event_ts, ghi FROM irradiance WHERE zenith_angle < 60) w
+      ON w.device_id = r.device_id AND r.event_ts >= w.event_ts""", "readings irradiance")
+def _weather_as_of(spark, sf):
+    reports = view(spark, sf, "irradiance").where(F.col("zenith_angle") < 60).select(
+        "device_id", F.col("event_ts").alias("hour_ts"), "ghi")
     df = view(spark, sf, "readings").select("reading_id", "device_id", "event_ts")
-    return weather_enrich(df, weather, ["device_id"], "event_ts", "hour_ts", ["irradiance"]).select("reading_id", "irradiance")
+    return enrich.weather_as_of(df, reports, BY_DEVICE, "hour_ts", ["ghi"]).select("reading_id", "ghi")

@@ -564,7 +564,9 @@ def _scale_query(method: str) -> None:
     stats = ", ".join(f"{centre.format(c=c)} AS {c}_c, {scale.format(c=c)} AS {c}_s" for c in SCALE)
     sql = ", ".join(r(f"({c} - {c}_c) / CASE WHEN {c}_s = 0 THEN 1 ELSE {c}_s END", c) for c in SCALE)
 
-    @query(f"scale_features_{method}", f"SELECT reading_id, {sql} FROM readings, stats", "readings",
+    name = "scale_features" if method == "standard" else f"scale_features_{method}"
+
+    @query(name, f"SELECT reading_id, {sql} FROM readings, stats", "readings",
            f"stats AS (SELECT {stats} FROM readings)")
     def _run(spark, sf):
         df = view(spark, sf, "readings").select("reading_id", *SCALE)

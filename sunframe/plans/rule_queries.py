@@ -316,13 +316,14 @@ def _drift(spark, sf):
     return evaluation.drift_report(df.where(F.col("event_ts") < cut), newer, _DRIFTING)
 
 
-@query("ensemble", f"""SELECT row_id, {r('CASE WHEN row_id % 7 <> 0 THEN y_pred END', 'first_prediction')},
-    {r('CASE WHEN row_id % 5 <> 0 THEN y_true END', 'second_prediction')},
-    {r('''CASE WHEN row_id % 7 <> 0 AND row_id % 5 <> 0 THEN y_pred * 0.6 + y_true * 0.4
-          WHEN row_id % 7 <> 0 THEN y_pred ELSE y_true END''', 'prediction')}
-    FROM predictions WHERE row_id % 35 <> 0""", "predictions")
+@query("ensemble", f"""SELECT row_id, {r('CASE WHEN y_pred > 0.5 THEN y_pred END', 'first_prediction')},
+    {r('CASE WHEN y_true < 3 THEN y_true END', 'second_prediction')},
+    {r('''CASE WHEN y_pred > 0.5 AND y_true < 3 THEN y_pred * 0.6 + y_true * 0.4
+          WHEN y_pred > 0.5 THEN y_pred ELSE y_true END''', 'prediction')}
+    FROM predictions WHERE y_pred > 0.5 OR y_true < 3""", "predictions")
 def _ensemble(spark, sf):
+    """One model predicts from half a kilowatt up, the other below three."""
     df = view(spark, sf, "predictions")
-    first = df.where(F.col("row_id") % 7 != 0).select("row_id", F.col("y_pred").alias("prediction"))
-    second = df.where(F.col("row_id") % 5 != 0).select("row_id", F.col("y_true").alias("prediction"))
+    first = df.where(F.col("y_pred") > 0.5).select("row_id", F.col("y_pred").alias("prediction"))
+    second = df.where(F.col("y_true") < 3).select("row_id", F.col("y_true").alias("prediction"))
     return models.ensemble(first, second, ["row_id"])

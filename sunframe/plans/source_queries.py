@@ -90,24 +90,24 @@ def _read_write(spark, sf):
 _RUNS = ("20240101_000000", "20240102_000000")
 
 
-@query("read_latest", f"""SELECT run_ts, {big('count(*)', 'rows')}, {r('sum(power_kw)', 'power_sum')} FROM (
-    SELECT '{_RUNS[1]}' AS run_ts, power_kw FROM readings WHERE reading_id % 2 = 1) GROUP BY run_ts""", "readings")
+@query("read_latest", f"""SELECT '{_RUNS[1]}' AS run_ts, {big('count(*)', 'rows')}, {r('sum(power_kw * 2)', 'power_sum')}
+    FROM readings""", "readings")
 def _read_latest(spark, sf):
     base = scratch_dir(spark, "processed")
     df = view(spark, sf, "readings")
     for i, run in enumerate(_RUNS):
-        processed.write_processed(df.where(F.col("reading_id") % 2 == i), base, "meter", run)
+        processed.write_processed(df.withColumn("power_kw", F.col("power_kw") * (i + 1)), base, "meter", run)
     back = processed.read_latest(spark, base, "meter")
     return back.groupBy("run_ts").agg(F.count("*").alias("rows"), F.sum("power_kw").alias("power_sum"))
 
 
-@query("write_processed", f"""SELECT 'meter' AS source, run_ts, {big('count(*)', 'rows')} FROM (
-    SELECT CASE reading_id % 2 WHEN 0 THEN '{_RUNS[0]}' ELSE '{_RUNS[1]}' END AS run_ts FROM readings) GROUP BY run_ts""", "readings")
+@query("write_processed", f"""SELECT 'meter' AS source, run_ts, {big('count(*)', 'rows')} FROM readings,
+    (SELECT unnest(['{_RUNS[0]}', '{_RUNS[1]}']) AS run_ts) GROUP BY run_ts""", "readings")
 def _write_processed(spark, sf):
     base = scratch_dir(spark, "processed")
     df = view(spark, sf, "readings")
-    for i, run in enumerate(_RUNS):
-        processed.write_processed(df.where(F.col("reading_id") % 2 == i), base, "meter", run)
+    for run in _RUNS:
+        processed.write_processed(df, base, "meter", run)
     return spark.read.option("basePath", base).parquet(base).groupBy("source", "run_ts").agg(F.count("*").alias("rows"))
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sunframe.operators import investing, nearest, radius
+from sunframe.operators import indisk, investing, nearest, radius
 
 
 def scatter(spark, n, seed, prefix, copies=True):
@@ -77,3 +77,20 @@ def test_leading_offers_hold_every_far_winner(spark):
                                                     + (10 if r[4] and green else 0)), r[0]))
                     assert best[0] in kept
     assert len(kept) < 60
+
+
+@pytest.mark.parametrize("rim_rows", [500, 6])
+def test_top_in_disks_equals_brute_force(spark, rim_rows):
+    a, rows_a = scatter(spark, 30, 5, "a")
+    b, rows_b = scatter(spark, 150, 6, "b")
+    disks = a.withColumn("r", (F.col("a_id") % 4 * 25 + 10).cast("double"))
+    points = b.withColumn("v", F.col("b_id") % 7)
+    found = indisk.top_in_disks(disks, points, ("a_lat", "a_lon"), "r", ("b_lat", "b_lon"),
+                                [F.desc("v"), F.asc("b_id")], 3, rim_rows)
+    got = {}
+    for r in found.collect():
+        got.setdefault((r.a_lat, r.a_lon, r.r), set()).add(r.b_id)
+    for x in rows_a:
+        reach = x[0] % 4 * 25 + 10.0
+        near = sorted((-(y[0] % 7), y[0]) for y in rows_b if km(x, y) <= reach)[:3]
+        assert got.get((*x[1:], reach), set()) == {i for _, i in near}
