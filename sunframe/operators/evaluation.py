@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .quantiles import exact_quantiles, running_total
 
 EPS = 2.220446049250313e-16  # the smallest divisor of the relative error
@@ -63,7 +64,8 @@ def peak_metrics(df: DataFrame, by: list[str], truth: str = "y_true", prediction
                  quantile: float = 0.75) -> DataFrame:
     """Errors on the rows at or above the upper quartile of the truth."""
     df = usable(df, truth, prediction)
-    bar = exact_quantiles(df, [truth], [quantile], by).select(*by, F.col("value").alias("peak_threshold"))
+    bar = materialize(exact_quantiles(df, [truth], [quantile], by).select(
+        *by, F.col("value").alias("peak_threshold")), "peak-thresholds")
     y, p = F.col(truth), F.col(prediction)
     high = df.join(bar, by).where(y >= F.col("peak_threshold"))
     return high.groupBy(*by).agg(
@@ -134,7 +136,7 @@ def select_best(metrics: DataFrame, metric: str = "rmse", name: str = "model_nam
 def error_by_bin(df: DataFrame, by: list[str], truth: str = "y_true", prediction: str = "y_pred",
                  bins: int = 5) -> DataFrame:
     """Mean absolute error in equal-width bins of the truth; the last upper edge is left out."""
-    ends = df.groupBy(*by).agg(F.min(truth).alias("_lo"), F.max(truth).alias("_hi"))
+    ends = materialize(df.groupBy(*by).agg(F.min(truth).alias("_lo"), F.max(truth).alias("_hi")), "bin-ends")
     width = (F.col("_hi") - F.col("_lo")) / bins
     placed = df.join(ends, by).where(F.col(truth) < F.col("_hi")).withColumn(
         "bin", F.least(F.lit(bins - 1), F.floor((F.col(truth) - F.col("_lo")) / width)))
@@ -151,7 +153,7 @@ def residual_histogram(df: DataFrame, by: list[str], truth: str = "y_true", pred
                        bins: int = 30) -> DataFrame:
     """Residual counts in equal-width bins; the last bin includes its upper edge."""
     df = df.withColumn("_r", F.col(prediction) - F.col(truth))
-    ends = df.groupBy(*by).agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi"))
+    ends = materialize(df.groupBy(*by).agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi")), "bin-ends")
     width = (F.col("_hi") - F.col("_lo")) / bins
     slot = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("_r") - F.col("_lo")) / width))).otherwise(0)
     return df.join(ends, by).groupBy(*by, slot.cast("long").alias("bin")).agg(

@@ -6,6 +6,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def _long_form(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     cells = F.explode(F.array(*[
@@ -47,8 +49,9 @@ def exact_quantiles(
             F.when(small, F.col("most")).otherwise(F.col("probes")[2 * i + 1]).alias("high"),
         ) for i, q in enumerate(probs)
     ])).alias("b")).select(*[F.col(g).alias(f"_b_{g}") for g in group], "b.*")
-    if not by:
-        brackets = F.broadcast(brackets)  # len(columns) * len(probs) rows
+    # without groups: len(columns) * len(probs) rows; with groups: a written table, whose size
+    # tells Spark whether the values have to be shuffled to meet it
+    brackets = materialize(brackets, "quantile-brackets") if by else F.broadcast(brackets)
     match = [values[g].eqNullSafe(brackets[f"_b_{g}"]) for g in group]
     inside = values.join(brackets, match).where(F.col("value") <= F.col("high")).withColumn(
         "value", F.when(F.col("value") >= F.col("low"), F.col("value")))
@@ -106,6 +109,7 @@ def running_total(
     offsets = totals.select(
         *[F.col(g).alias(f"_o_{g}") for g in [*by, "_sf_bucket"]],
         *[(F.sum(f"_t_{a}").over(over) - F.col(f"_t_{a}")).alias(f"_p_{a}") for a in amounts])
+    offsets = materialize(offsets, "bucket-offsets") if by else F.broadcast(offsets)  # one row per bucket
     match = [bucketed[g].eqNullSafe(offsets[f"_o_{g}"]) for g in [*by, "_sf_bucket"]]
     inside = Window.partitionBy(*by, "_sf_bucket").orderBy(column)
     joined = bucketed.join(offsets, match)
