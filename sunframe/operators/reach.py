@@ -2,9 +2,11 @@
 
 The score of a pair is a distance part, ``weight * max(0, 1 - d / reach)``, plus a quality part
 that can be bounded per class of partners. Seekers first look up the nearest partners of their most
-promising classes; the k-th best score found there is a bar. A class can then only add partners
-inside the radius its bound still pays for, so crowded places lead to small radii, not to more
-pairs. Nothing is cut off: every partner that could reach the bar is compared.
+promising classes; the k-th best score found there is a bar. A class whose nearest partners all
+reach its bound is settled: anyone further away scores less, anyone as near has a higher id. Any
+other class can only add partners inside the radius its bound still pays for, so crowded places
+lead to small radii, not to more pairs. Nothing is cut off: every partner that could be among the
+best is compared.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from .radius import radius_join
 from .series import top_k_per_key
 
 DIRECT_PAIRS = 50_000_000  # up to here comparing everyone is cheaper than looking for a bar
-SEED_CLASSES = 3
+SEED_CLASSES = 6
 MAX_CLASSES = 1_000
 
 
@@ -101,30 +103,41 @@ def _bounded(seekers: DataFrame, partners: DataFrame, plan: Reach, k: int) -> Da
     cap = F.coalesce(F.col("_pick.cap"), plan.limit) if plan.limit_side == "seeker" else F.col("_pick.cap")
 
     first = asking.withColumn("_pick", F.explode(F.slice("_classes", 1, SEED_CLASSES))).withColumns(
-        {"_want": F.col("_pick.want"), "_cap": cap}).drop("_pick", "_classes")
+        {"_want": F.col("_pick.want"), "_cap": cap, "_best": -F.col("_pick.rank")}).drop("_pick", "_classes")
     spots = first.groupBy(*plan.seeker_at, "_want").agg(F.max("_cap").alias("_cap"))
     spots = spots.withColumnsRenamed({plan.seeker_at[0]: "_at0", plan.seeker_at[1]: "_at1", "_want": "_class_wanted"})
     found = nearest_on_globe(spots, tagged, ("_at0", "_at1"), plan.partner_at, plan.partner_id, k,
                              F.col("_cap"), same=(("_class_wanted", "_class"),), planar=plan.planar)
     found = found.drop("_cap", "_class").withColumnRenamed("_distance", "distance_km")
-    seeds = first.drop("_cap").join(found, [
+    seeds = first.join(found, [
         first[plan.seeker_at[0]] == found["_at0"], first[plan.seeker_at[1]] == found["_at1"],
-        first["_want"] == found["_class_wanted"]])
-    bars = _kept(seeds, plan).groupBy(plan.seeker_id).agg(  # at most k x SEED_CLASSES scores
+        first["_want"] == found["_class_wanted"]]).drop("_at0", "_at1", "_class_wanted")
+    fits = F.col("distance_km") <= plan.limit
+    if plan.condition is not None:
+        fits = fits & plan.condition
+    seeds = materialize(seeds.withColumns({"_fits": F.coalesce(fits, F.lit(False)), "_score": plan.score}), "seeds")
+    near_part = F.greatest(F.lit(0.0), 1 - F.col("distance_km") / plan.reach_km) * plan.weight
+    perfect = F.col("_fits") & (F.col("distance_km") < plan.reach_km) & (
+        F.col("_score") - near_part >= F.col("_best") - 1e-12)
+    exhausted = (F.count("*") < k) | (F.max("distance_km") > F.max("_cap"))
+    settled = seeds.groupBy(plan.seeker_id, "_want").agg(
+        (exhausted | (F.count_if(perfect) == k)).alias("_settled")).where("_settled").drop("_settled")
+    settled = materialize(settled, "settled-classes")
+    certain = seeds.where("_fits").join(settled, [plan.seeker_id, "_want"], "left_semi")
+
+    bars = seeds.where("_fits").groupBy(plan.seeker_id).agg(  # at most k x SEED_CLASSES scores
         F.get(F.sort_array(F.collect_list("_score"), False), F.lit(k - 1)).alias("_bar"))
     known = asking.join(bars, plan.seeker_id, "left")
     if plan.floor is not None:
         known = known.withColumn("_bar", F.greatest("_bar", plan.floor))
     bar, best = F.col("_bar") - 1e-9, -F.col("_pick.rank")
     disks = known.withColumn("_pick", F.explode("_classes")).where(bar.isNull() | (best + plan.weight >= bar))
-    if plan.weight > 0:
-        paid = F.when(bar > best, (1 - (bar - best) / plan.weight) * plan.reach_km + 1e-6)
-        radius = F.least(cap, paid)
-    else:
-        radius = cap
-    disks = disks.withColumns({"_want": F.col("_pick.want"), "_radius": radius}).drop("_pick", "_classes")
-    disks = materialize(disks.where(F.col("_radius") >= 0), "disks")
+    paid = F.when(bar > best, (1 - (bar - best) / plan.weight) * plan.reach_km + 1e-6)
+    disks = disks.withColumns({"_want": F.col("_pick.want"), "_radius": F.least(cap, paid)}).drop("_pick", "_classes")
+    disks = disks.where(F.col("_radius") >= 0).join(settled, [plan.seeker_id, "_want"], "left_anti")
+    disks = materialize(disks, "disks")
     pairs = radius_join(tagged, disks, plan.partner_at, plan.seeker_at, F.col("_radius"),
                         extra_keys=(("_class", "_want"),), planar=plan.planar)
     scored = _kept(pairs.drop("_class", "_want", "_radius"), plan)
-    return scored.where(F.col("_bar").isNull() | (F.col("_score") >= F.col("_bar") - 1e-9)).drop("_bar")
+    scored = scored.where(F.col("_bar").isNull() | (F.col("_score") >= F.col("_bar") - 1e-9)).drop("_bar")
+    return scored.unionByName(certain.select(*scored.columns))

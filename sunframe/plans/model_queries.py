@@ -11,7 +11,7 @@ from ..functions import solar
 from ..operators import cleaning, features, forecasting, isolation, models
 from ..operators.series import SeriesOrder
 from ..session import materialize, scratch_dir
-from .registry import BY_DEVICE, query, r
+from .registry import query, r
 
 TREES = 5
 SOLAR_IN = ["ghi", "dni", "dhi", "temperature", "cloud_type", "zenith_angle"]
