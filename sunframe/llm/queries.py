@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curriculum, langid, pii, retrieval_packing, simhash
+from . import ann, curriculum, exact_topk, langid, pii, retrieval_packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,3 +50,13 @@ def op7(spark, sf_dir):
 @query("op10_personal_data")
 def op10(spark, sf_dir):
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op1_exact_topk")
+def op1(spark, sf_dir):
+    return exact_topk.top_twenty(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_adaptive_scan")
+def op8(spark, sf_dir):
+    return ann.nearest_twenty(table(spark, sf_dir, "embeddings"))
