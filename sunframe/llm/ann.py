@@ -30,7 +30,7 @@ from .vectors import Best, copies_limited, keyed, query_keys, ranked, valid_rows
 K = 20
 SAMPLE = 16_384
 BAR_SAMPLE = 2_048
-LIST_ROWS = 200
+LIST_ROWS = 800
 MAX_LISTS = 1_024
 #: Share of the sample's own nearest neighbours that the probed lists must hold.
 RECALL = 0.975
@@ -101,7 +101,18 @@ def scan_part(queries: np.ndarray, bars: np.ndarray, vecs: np.ndarray, ids: np.n
     for at in range(0, len(vecs), 1024):
         rows = slice(at, at + 1024)
         bar = np.maximum(bars, best.bar())
-        live, done, part, i, j = np.arange(len(queries)), 0, 0.0, None, None
+        live, done, part, i, j = np.flatnonzero(np.isfinite(bar)), 0, 0.0, None, None
+        open_ = np.flatnonzero(~np.isfinite(bar))
+        if len(open_):  # no bar yet: the best of this block set it
+            whole = queries[open_] @ vecs[rows].T
+            if whole.shape[1] > best.k:
+                a, b = np.nonzero(whole >= np.partition(whole, -best.k, axis=1)[:, -best.k, None] - 1e-9)
+            else:
+                a, b = (v.ravel() for v in np.indices(whole.shape))
+            a, b = open_[a], b + at
+            best.add(a, np.einsum("ij,ij->i", queries[a], vecs[b]), ids[b])
+        if not len(live):
+            continue
         for edge in edges:
             allowed = deviations / np.sqrt(dim - edge) if edge < dim else 0.0
             if i is None:  # many candidates are left: whole column blocks

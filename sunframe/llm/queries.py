@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, curriculum, exact_topk, langid, pii, retrieval_packing, simhash
+from . import ann, curriculum, exact_topk, hmm, langid, pii, retrieval_packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,3 +60,8 @@ def op1(spark, sf_dir):
 @query("op8_adaptive_scan")
 def op8(spark, sf_dir):
     return ann.nearest_twenty(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_hidden_markov")
+def op9(spark, sf_dir):
+    return hmm.score_documents(table(spark, sf_dir, "documents"))

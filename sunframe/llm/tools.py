@@ -36,7 +36,11 @@ class Scratch:
         """Write ``df`` and read it back: later passes start from files, a lost executor costs one task."""
         path = os.path.join(self.root, name)
         df.write.option("compression", compression).parquet(path)
-        return self.spark.read.parquet(path)
+        return self.read(name)
+
+    def read(self, name: str) -> DataFrame:
+        """A saved table anew, with columns of its own: for joins of a table with what was made of it."""
+        return self.spark.read.parquet(os.path.join(self.root, name))
 
     def drop(self, *names: str) -> None:
         for name in names:
