@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, curriculum, exact_topk, hmm, langid, pii, retrieval_packing, simhash
+from . import ann, bfd_packing, curriculum, exact_topk, hmm, langid, pii, quoting, retrieval_packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,3 +65,73 @@ def op8(spark, sf_dir):
 @query("op9_hidden_markov")
 def op9(spark, sf_dir):
     return hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op6_best_fit_packing")
+def op6(spark, sf_dir):
+    return bfd_packing.pack(table(spark, sf_dir, "documents"))
+
+
+#: The SQL twin of op4: lines, passages, sources and roots by plain joins and a recursive view.
+OP4_SQL = r"""
+WITH RECURSIVE rows_ AS (
+  SELECT row_number() OVER () AS id, conv_id, turn, role, text FROM conversations),
+lines AS (
+  SELECT id, u.pos, u.line, length(regexp_replace(regexp_extract(u.line, '^([ \t]*>)+'), '[^>]', '', 'g')) AS level
+  FROM (SELECT id, unnest(regexp_split_to_array(text, '\r?\n')) AS line,
+               generate_subscripts(regexp_split_to_array(text, '\r?\n'), 1) AS pos FROM rows_) u),
+bodies AS (
+  SELECT id, pos, level, CASE WHEN level > 0 THEN regexp_replace(line, '^([ \t]*>)+ ?', '') ELSE line END AS body,
+         level = 0 AND coalesce(lead(level) OVER (PARTITION BY id ORDER BY pos), 0) > 0 AND regexp_matches(line,
+           '(?i)^[ \t]*(on .{1,200} wrote|am .{1,200} schrieb.*|le .{1,200} a écrit|el .{1,200} escribió)[ \t]*:[ \t]*$') AS intro,
+         sum(CASE WHEN prev IS NULL OR prev <> level THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos) AS run
+  FROM (SELECT *, lag(level) OVER (PARTITION BY id ORDER BY pos) AS prev FROM lines)),
+own AS (
+  SELECT id, regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY pos) FILTER (WHERE level = 0 AND NOT intro), ''),
+                            '^\s+|\s+$', '', 'g') AS clean, max(level) AS top FROM bodies GROUP BY id),
+msg AS (
+  SELECT r.id, conv_id, turn, role, CASE WHEN top > 0 THEN clean ELSE text END AS clean_text, coalesce(top, 0) AS top
+  FROM rows_ r LEFT JOIN own USING (id)),
+runs AS (
+  SELECT id, run, level, trim(regexp_replace(lower(string_agg(body, chr(10) ORDER BY pos)), '\s+', ' ', 'g')) AS plain
+  FROM bodies WHERE level > 0 GROUP BY id, run, level),
+quotes AS (
+  SELECT id, row_number() OVER (PARTITION BY id ORDER BY run) - 1 AS pos, level, plain
+  FROM runs WHERE regexp_matches(plain, '[\p{L}\p{N}]')),
+said AS (
+  SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(u), '\s+', ' ', 'g')) AS plain FROM (
+    SELECT conv_id, turn, unnest(list_concat([clean_text], regexp_split_to_array(clean_text, '\n\s*\n'),
+                                             regexp_split_to_array(clean_text, '\n'))) AS u FROM msg)
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND regexp_matches(u, '[\p{L}\p{N}]')),
+asked AS (
+  SELECT DISTINCT m.conv_id, m.turn, q.pos, q.level, q.plain FROM quotes q JOIN msg m USING (id)
+  WHERE m.conv_id IS NOT NULL AND m.turn IS NOT NULL),
+near AS (
+  SELECT a.conv_id, a.turn, a.pos, a.level, a.plain, max(s.turn) AS near FROM asked a
+  LEFT JOIN said s ON s.conv_id = a.conv_id AND s.plain = a.plain AND s.turn < a.turn GROUP BY ALL),
+far AS (SELECT plain, min({'c': conv_id, 't': turn}) AS far FROM said GROUP BY plain),
+links AS (
+  SELECT * FROM (
+    SELECT n.conv_id, n.turn, pos, level, CASE WHEN near IS NOT NULL THEN n.conv_id ELSE far.c END AS parent_conv,
+           coalesce(near, far.t) AS parent_turn FROM near n LEFT JOIN far USING (plain))
+  WHERE parent_turn IS NOT NULL AND NOT (parent_conv = conv_id AND parent_turn >= turn)),
+parents AS (
+  SELECT conv_id, turn, count(*) AS n_linked, min(CASE WHEN level = 1 THEN {'a': pos, 'c': parent_conv, 't': parent_turn} END) AS p
+  FROM links GROUP BY conv_id, turn),
+climb AS (
+  SELECT conv_id, turn, p.t AS root, 1 AS depth FROM parents WHERE p.c = conv_id
+  UNION ALL
+  SELECT c.conv_id, c.turn, q.p.t, c.depth + 1 FROM climb c JOIN parents q ON q.conv_id = c.conv_id AND q.turn = c.root AND q.p.c = q.conv_id),
+roots AS (SELECT conv_id, turn, min(root) AS root, max(depth) AS depth FROM climb GROUP BY conv_id, turn)
+SELECT m.conv_id, m.turn, role, clean_text,
+       CAST((SELECT count(*) FROM quotes q WHERE q.id = m.id) AS BIGINT) AS n_quotes, CAST(top AS BIGINT) AS max_quote_level,
+       CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, p.c AS parent_conv, p.t AS parent_turn,
+       coalesce(root, m.turn) AS root_turn, CAST(coalesce(r.depth, 0) AS BIGINT) AS depth
+FROM msg m LEFT JOIN parents pa ON pa.conv_id = m.conv_id AND pa.turn = m.turn
+LEFT JOIN roots r ON r.conv_id = m.conv_id AND r.turn = m.turn
+"""
+
+
+@query("op4_quotation_links", OP4_SQL)
+def op4(spark, sf_dir):
+    return quoting.conversations_without_quotes(table(spark, sf_dir, "conversations"))
