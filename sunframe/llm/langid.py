@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tools import crc_mod, with_fields
+from .tools import Scratch, crc_mod, with_fields
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 12_000
-MAX_WORDS = 120_000
-MAX_GRAMS = 120_000
+MAX_WORDS = 60_000
+MAX_GRAMS = 60_000
 LONGEST_GRAM = 5
 #: Words of one document that count in full when the score is made; more evidence does not sharpen it further.
 EVIDENCE = 12
@@ -97,44 +97,41 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_WO
     share = min(1.0, sample_docs / max(n, 1))
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
     counted = count_features(chosen, longest)
-    ranked = (counted.groupBy("kind", "gram").agg(
-        F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
-        .where(F.col("total") >= least))
-    top = [ranked.where("kind = 0").orderBy(F.desc("total"), "gram").limit(max_words),
-           ranked.where("kind > 0").orderBy(F.desc("total"), "kind", "gram").limit(max_grams)]
-    rows = [row for part in top for row in part.toLocalIterator(prefetchPartitions=False)]
-    langs = sorted({lang for row in rows for lang in row["by_lang"]})
-    # smoothing of each kind over its total mass, so that kinds and languages are comparable
-    mass = defaultdict(lambda: np.zeros(max(len(langs), 1)))
-    place = {lang: i for i, lang in enumerate(langs)}
-    table = np.full((len(rows), len(langs)), 0.0)
-    for i, row in enumerate(rows):
-        for lang, count in row["by_lang"].items():
-            table[i, place[lang]] = count
-        mass[row["kind"]] += table[i]
-    kinds = np.array([row["kind"] for row in rows], dtype=np.int64)
-    for kind, total in mass.items():
-        own = kinds == kind
-        table[own] = np.log((table[own] + 0.1) / (total + 0.1 * own.sum()))
-    return {"langs": langs, "longest": longest, "table": table.astype(np.float32),
-            "index": {(row["kind"], row["gram"]): i for i, row in enumerate(rows)}}
+    counted = Scratch(docs.sparkSession, "language").save(counted, "counts")
+    langs = sorted(r[0] for r in counted.select("lang").distinct().collect())
+    per_lang = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
+    ranked = counted.groupBy("kind", "gram").agg(F.sum("n").alias("total"), *per_lang).where(F.col("total") >= least)
+    model = {"langs": langs, "longest": longest}
+    for name, chosen, most in (("words", "kind = 0", max_words), ("grams", "kind > 0", max_grams)):
+        got = ranked.where(chosen).orderBy(F.desc("total"), "kind", "gram").limit(most).toArrow()
+        kinds = got.column("kind").to_numpy()
+        table = np.stack([got.column(f"n{i}").to_numpy() for i in range(len(langs))], axis=1).astype(np.float64) \
+            if langs else np.zeros((0, 0))
+        # smoothed over the mass of one kind, so that kinds and languages are comparable
+        for kind in np.unique(kinds).tolist():
+            own = kinds == kind
+            table[own] = np.log((table[own] + 0.1) / (table[own].sum(axis=0) + 0.1 * own.sum()))
+        model[name] = table.astype(np.float32)
+        model[f"{name}_at"] = {gram: at for at, gram in enumerate(got.column("gram").to_pylist())}
+    return model
 
 
 class Scorer:
     """Applies a model; remembers the rows of words it has met, up to a bound."""
 
     def __init__(self, model: dict, remember: int = 100_000):
-        self.langs, self.longest, self.table = model["langs"], model["longest"], model["table"]
-        self.index, self.remember, self.met = model["index"], remember, {}
+        self.langs, self.longest, self.remember, self.met = model["langs"], model["longest"], remember, {}
+        self.words, self.words_at = model["words"], model["words_at"]
+        self.grams, self.grams_at = model["grams"], model["grams_at"]
 
     def word(self, word: str) -> np.ndarray:
-        at = self.index.get((0, word))
+        at = self.words_at.get(word)
         if at is not None:
-            return self.table[at]
+            return self.words[at]
         for n in range(self.longest, 0, -1):
-            known = [i for g in grams(word, n) if (i := self.index.get((n, g))) is not None]
+            known = [i for g in grams(word, n) if (i := self.grams_at.get(g)) is not None]
             if known:
-                return self.table[known].mean(axis=0)
+                return self.grams[known].mean(axis=0)
         return np.zeros(len(self.langs), dtype=np.float32)
 
     def text(self, text: str | None) -> tuple[str, float]:
