@@ -151,10 +151,10 @@ def _read_csv(spark, sf):
                   F.avg(F.col("Temperature").cast("double")).alias("mean_temperature"))
 
 
-@query("read_nsrdb", _READ_BACK + " WHERE year(event_ts) >= 1998", "irradiance")
+@query("read_nsrdb", _READ_BACK, "irradiance")
 def _read_nsrdb(spark, sf):
     path = _text_files(spark, sf, ",", "nsrdb", ["Source,Location ID,City", "NSRDB,1234,-"])
-    df = csvfiles.read_nsrdb(spark, path).where(F.year("event_ts") >= 1998)
+    df = csvfiles.read_nsrdb(spark, path)
     return df.agg(F.count("*").alias("rows"), F.sum("GHI").alias("ghi_sum"), F.avg("Temperature").alias("mean_temperature"))
 
 

@@ -41,6 +41,17 @@ def _best_delimiter(lines: str = "lines") -> Column:
     return choice
 
 
+def _header_blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, heads): the lines of each file up to the marked header, at most ``HEADER_SCAN`` + 1."""
+    lines = _first_lines(spark, path)
+    marked = F.replace(F.lower(F.trim("line")), F.lit(" "), F.lit("")).contains(HEADER_MARK)
+    listed = lines.groupBy("file").agg(
+        F.min(F.when(marked, F.col("line_no"))).alias("header_no"),
+        F.collect_list(F.struct("line_no", "line")).alias("lines"))
+    return listed.select("file", F.transform(
+        F.filter("lines", lambda x: x.line_no <= F.col("header_no")), lambda x: x.line).alias("heads"))
+
+
 def detect_delimiter(spark: SparkSession, path: str) -> DataFrame:
     """(file, delimiter) from the first five lines of each file; a comma when nothing fits."""
     lines = _first_lines(spark, path).where(F.col("line_no") < SAMPLE_LINES)
@@ -85,15 +96,14 @@ def _read_after_header(spark: SparkSession, files: list[str], names: list[str],
     """Irradiance files whose header follows metadata lines; adds ``event_ts``."""
     schema = ", ".join(f"`{n}` STRING" for n in names)
     lines = spark.read.text(files).select(
-        "value", F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("_start"))
-    cells = lines.withColumn("_r", F.from_csv("value", schema, {"sep": delimiter})).select(
-        "_r.*", "source_file", "_start")
-    timed = F.lit(True)
-    for c in TIME_FIELDS:
-        timed = timed & F.col(c).try_cast("int").isNotNull()
-    # metadata and header lines sit at the start of a file and carry no numbers as time
-    data = cells.where(timed | (F.col("_start") > 0)).drop("_start")
+        "value", F.col("_metadata.file_path").alias("source_file"))
+    # the lines up to the header go by what they say, wherever a split begins; malformed rows stay, with NULL time
+    heads = _header_blocks(spark, files).select(F.col("file").alias("source_file"), "heads")
+    bare = F.regexp_replace("value", '"[^"]*"', "")
+    fields = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
+    data = (lines.where((F.trim("value") != "") & (fields <= len(names))).join(heads, "source_file")
+            .where(~F.array_contains("heads", F.col("value"))))
+    data = data.withColumn("_r", F.from_csv("value", schema, {"sep": delimiter})).select("_r.*", "source_file")
     parts = [F.col(c).try_cast("int") for c in TIME_FIELDS]
     data = data.withColumn("event_ts", F.make_timestamp_ntz(*parts, F.lit(0)))
     return data.withColumns({

@@ -13,9 +13,9 @@ from .csvfiles import file_layouts, read_tables
 
 
 def write_processed(df: DataFrame, path: str, source: str, run_ts: str, kind: str = "parquet") -> None:
-    """One folder per source and run; earlier runs stay."""
+    """One folder per source and run; earlier runs stay, a rerun replaces its own."""
     tagged = df.withColumns({"source": F.lit(source), "run_ts": F.lit(run_ts)})
-    tagged.write.mode("append").partitionBy("source", "run_ts").option("header", True).format(kind).save(path)
+    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "run_ts").option("header", True).format(kind).save(path)
 
 
 def newest(df: DataFrame, run: str = "run_ts") -> DataFrame:
@@ -66,13 +66,15 @@ def batch_preprocess(spark: SparkSession, path: str, output: str, run_ts: str, c
         table = materialize(_typed(raw, kind), f"raw-{kind}")
         write_processed(_prepared(table, kind, capacity_kw), output, kind, run_ts)
         seen = table.groupBy("source_file").agg(F.count("*").alias("rows_input"))
-        done = read_latest(spark, output, kind).groupBy("source_file").agg(F.count("*").alias("rows_output"))
+        own = spark.read.option("basePath", output).parquet(output).where(
+            (F.col("source") == kind) & (F.col("run_ts").cast("string") == run_ts))
+        done = own.groupBy("source_file").agg(F.count("*").alias("rows_output"))
         part = seen.join(done, "source_file", "left").select(
-            names["file"].alias("file"), F.lit(kind).alias("source"), "rows_input",
+            "source_file", F.lit(kind).alias("source"), "rows_input",
             F.coalesce("rows_output", F.lit(0)).alias("rows_output"))
         out = part if out is None else out.unionByName(part)
-    files = file_layouts(spark, path).select(F.col("file").alias("source_file")).select(names["file"].alias("file"))
-    summary = files.join(out, "file", "left")
+    files = file_layouts(spark, path).select(F.col("file").alias("source_file"))
+    summary = files.join(out, "source_file", "left").withColumns(names)
     rows_in, rows_out = F.coalesce("rows_input", F.lit(0)), F.coalesce("rows_output", F.lit(0))
     return summary.select(
         "file", F.coalesce("source", F.lit("unknown")).alias("source"),

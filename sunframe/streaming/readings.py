@@ -79,10 +79,14 @@ def quarantine_sink(good_path: str, bad_path: str, kind: str, capacity_kw: float
     Both tables carry the batch number, so a batch that is run again replaces itself.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        flagged = validation.row_flags(batch, kind, capacity_kw).withColumn("broken", F.size("broken_rules") > 0)
-        for path, part in ((good_path, flagged.where(~F.col("broken")).drop("broken_rules")),
-                           (bad_path, flagged.where("broken"))):
-            part.drop("broken").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        flagged = (validation.row_flags(batch, kind, capacity_kw)
+                   .withColumn("broken", F.size("broken_rules") > 0).persist())
+        try:
+            for path, part in ((good_path, flagged.where(~F.col("broken")).drop("broken_rules")),
+                               (bad_path, flagged.where("broken"))):
+                part.drop("broken").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        finally:
+            flagged.unpersist()
 
     return write
 

@@ -68,3 +68,32 @@ def test_detect_source():
     assert csvfiles.detect_source(["Power_kW"]) == "meter"
     assert csvfiles.detect_source(["temperature", "humidity", "wind_speed"]) == "weather"
     assert csvfiles.detect_source(["temperature"]) == "unknown"
+
+
+def _nsrdb(path, rows):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    head = "Source,Location ID\nX,1\nYear,Month,Day,Hour,Minute,GHI\n"
+    path.write_text(head + "".join(rows))
+
+
+def test_rows_do_not_depend_on_splits(spark, tmp_path):
+    rows = [f"2020,1,{1 + i % 28},{i % 24},0,{i}\n" if i % 10 else f",,,,,{i}\n" for i in range(4000)]
+    rows[7] = "2020,1,1,1,0,5,6,7\n"  # too long: skipped
+    _nsrdb(tmp_path / "in" / "a.csv", rows)
+    counts = []
+    for size in ("128m", "20000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            df = csvfiles.read_nsrdb(spark, str(tmp_path / "in"))
+            counts.append((df.count(), df.where("event_ts is null").count()))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert counts == [(3999, 400)] * 2
+
+
+def test_batch_counts_by_path_and_own_run(spark, tmp_path):
+    for folder, n in (("s1", 30), ("s2", 20)):
+        _nsrdb(tmp_path / "in" / folder / "year.csv", [f"2020,1,1,{i % 24},{i},{i}\n" for i in range(n)])
+    for run in ("r2", "r2", "r1"):
+        out = processed.batch_preprocess(spark, str(tmp_path / "in" / "*"), str(tmp_path / "out"), run).collect()
+        assert sorted((r.file, r.rows_input, r.rows_output) for r in out) == [("year.csv", 20, 20), ("year.csv", 30, 30)]
