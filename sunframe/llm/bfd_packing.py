@@ -137,7 +137,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, json_path: str | None = None
         by_length.setdefault(run[0], []).append(run[1:])
     shared = spark.sparkContext.broadcast(by_length)
     dtype = encoder(json_path, rank_path).dtype
-    # the numbering moves lengths and hashes only; ids join the windows in one shuffle afterwards
+    # ids move twice: to the slice that numbers their piece, and to their window
     placed = numbered_slices(pieces, "length", "h", F.lit(1).cast("long"), "rank", counts)
 
     def settle(batches):
