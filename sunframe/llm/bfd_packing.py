@@ -1,12 +1,12 @@
 """Best-fit-decreasing packing of all documents into fixed windows of token ids.
 
-Documents longer than a window are split without loss: full windows, and a remainder. Best-fit-decreasing looks at
-lengths only, so it runs on their histogram (at most one count per length): lengths in descending order, each to
-the fullest window that still has room, found with a segment tree over capacities. Windows with the same room are
-kept as runs, and pieces of one length are placed as runs, so the plan's size follows the number of lengths, not
-the number of documents, and it is the plan of the whole corpus, not of a shard. Pieces are numbered inside their
-length (in slices of about sqrt(n) rows, so a length that a third of all pieces share makes no hot task), find
-their window in the plan, and meet there.
+Documents longer than a window are split without loss: full windows, and a remainder. Pieces are dealt by a hash to
+shards of about ``shard_bytes`` of text (a token is at least a byte, so that bounds a shard's ids too), and each shard
+packs its own: lengths in descending order, each to the fullest window that still has room, found with a segment tree
+over capacities. That looks at lengths only, so it runs on their histogram: windows with the same room are kept as
+runs, and pieces of one length are placed as runs. Ids move once, straight to their shard; a shard leaves about one
+window partly filled, a small part of its hundreds. Pieces that are the same in everything are told apart by their
+count within the task that reads them, so repeated rows make no hot shard and a task that runs anew deals the same.
 
 A window is a row of its ids (``ids``, little-endian unsigned 32-bit, padded), the cumulative segment lengths
 ``cu_seqlens`` and, per segment, where position ids start anew (``position_resets``).
@@ -17,7 +17,7 @@ extra columns are ignored; an empty table gives no windows.
 
 from __future__ import annotations
 
-import bisect
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 
 from .retrieval_packing import JSON, RANKS, ids_crc32
 from .tokens import encoder, vocabulary_path
-from .tools import Scratch, numbered_slices
 
 CAPACITY = 2048
 PAD = 0
-GROUP = 64
+#: Bytes of text per shard, and ids that a task holds before it hands them on.
+SHARD_BYTES = 4 << 20
+HELD_IDS = 1 << 20
 WINDOWS = ("sequence_id long, n_tokens long, n_segments int, doc_ids array<long>, starts array<long>, "
            "cu_seqlens array<int>, position_resets array<int>, ids_crc32 long, ids binary")
 
@@ -103,78 +104,71 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
 
 
 def token_pieces(docs: DataFrame, capacity: int, json_path: str, rank_path: str) -> DataFrame:
-    """``doc_id, start, length, h, ids``: full windows and remainders."""
+    """``doc_id, start, length, crc, nth, ids``: full windows and remainders; equal pieces of a task are counted by ``nth``."""
+    def record(rows):
+        ident, start, length, crc, nth, ids = zip(*rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ident, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
+             pa.array(crc, pa.int64()), pa.array(nth, pa.int64()), pa.array(ids, pa.binary())],
+            names=["doc_id", "start", "length", "crc", "nth", "ids"])
+
     def scan(batches):
-        enc = encoder(json_path, rank_path)
+        enc, met = encoder(json_path, rank_path), Counter()
+        rows, held = [], 0
         for batch in batches:
-            rows = []
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = enc.ids(text)
                 for start in range(0, len(ids), capacity):
                     cut = ids[start:start + capacity]
-                    rows.append((ident, start, len(cut), ids_crc32(cut), cut.tobytes()))
-            if rows:
-                ident, start, length, crc, ids = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ident, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                     pa.array(crc, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "length", "crc", "ids"])
+                    crc = ids_crc32(cut)
+                    same = hash((ident, start, crc))
+                    rows.append((ident, start, len(cut), crc, met[same], cut.tobytes()))
+                    met[same] += 1
+                held += len(ids)
+                if held > HELD_IDS:
+                    yield record(rows)
+                    rows, held = [], 0
+        if rows:
+            yield record(rows)
 
     return (docs.select(F.col("doc_id").cast("long"), "text")
-            .mapInArrow(scan, "doc_id long, start long, length long, crc long, ids binary")
-            .withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "start", "crc"), 1)))
+            .mapInArrow(scan, "doc_id long, start long, length long, crc long, nth long, ids binary"))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, json_path: str | None = None, rank_path: str | None = None) -> DataFrame:
-    """One row per window."""
+def pack(docs: DataFrame, capacity: int = CAPACITY, json_path: str | None = None, rank_path: str | None = None,
+         shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """One row per window; ``sequence_id`` is unique, not gapless."""
     json_path, rank_path = json_path or vocabulary_path(JSON), rank_path or vocabulary_path(RANKS)
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "bfd")
-    pieces = scratch.save(token_pieces(docs, capacity, json_path, rank_path), "pieces")
-    counts = pieces.groupBy("length").agg(F.count("*").alias("n_rows"))
-    runs, _ = plan({r["length"]: r["n_rows"] for r in counts.collect()}, capacity)
-    by_length: dict[int, list] = {}
-    for run in runs:
-        by_length.setdefault(run[0], []).append(run[1:])
-    shared = spark.sparkContext.broadcast(by_length)
     dtype = encoder(json_path, rank_path).dtype
-    # ids move twice: to the slice that numbers their piece, and to their window
-    placed = numbered_slices(pieces, "length", "h", F.lit(1).cast("long"), "rank", counts)
-
-    def settle(batches):
-        table = {k: ([r[0] for r in v], v) for k, v in shared.value.items()}
-        for batch in batches:
-            window, offset = [], []
-            for length, rank in zip(batch.column("length").to_pylist(), batch.column("rank").to_pylist()):
-                firsts, rows = table[length]
-                first, _, start, room, each = rows[bisect.bisect_right(firsts, rank) - 1]
-                window.append(start + (rank - first) // each)
-                offset.append(capacity - room + (rank - first) % each * length)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("start"), batch.column("length"), batch.column("ids"),
-                 pa.array(window, pa.int64()), pa.array(offset, pa.int64())],
-                names=["doc_id", "start", "length", "ids", "sequence_id", "offset"])
-
-    settled = placed.select("doc_id", "start", "length", "ids", "rank").mapInArrow(
-        settle, "doc_id long, start long, length long, ids binary, sequence_id long, offset long")
-
-    def build(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
-        seq, length = group.column("sequence_id").to_numpy(), group.column("length").to_numpy()
+    # a document has at most one id per byte, and its end
+    most = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
+    shards = -(-int(most) // shard_bytes) or 1
+
+    def build(key, group):
+        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("crc", "ascending")])
+        length = group.column("length").to_numpy()
+        # runs come by descending length and rising rank: the order of the sorted pieces
+        runs, _ = plan(Counter(length.tolist()), capacity)
+        window = np.concatenate([first + np.arange(n) // each for _, _, n, first, _, each in runs])
+        offset = np.concatenate([capacity - room + np.arange(n) % each * size for size, _, n, _, room, each in runs])
+        order = np.lexsort((offset, window))
+        group, length, window = group.take(order), length[order], window[order]
         doc, start, ids = (group.column(c).to_pylist() for c in ("doc_id", "start", "ids"))
-        cuts = np.flatnonzero(np.diff(seq)) + 1
-        rows = []
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(seq)]):
+        cuts = np.flatnonzero(np.diff(window)) + 1
+        shard, rows = key[0].as_py(), []
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(window)]):
             flat = np.frombuffer(b"".join(ids[a:b]), dtype=dtype)
-            ends = np.cumsum(length[a:b])
+            ends = np.cumsum(length[a:b]).tolist()
             whole = np.full(capacity, PAD, dtype="<u4")
             whole[:len(flat)] = flat
-            rows.append({"sequence_id": int(seq[a]), "n_tokens": len(flat), "n_segments": b - a, "doc_ids": doc[a:b],
-                         "starts": start[a:b], "cu_seqlens": [0, *ends.tolist()], "position_resets": [0, *ends[:-1].tolist()],
-                         "ids_crc32": ids_crc32(flat), "ids": whole.tobytes()})
+            rows.append({"sequence_id": int(window[a]) * shards + shard, "n_tokens": len(flat), "n_segments": b - a,
+                         "doc_ids": doc[a:b], "starts": start[a:b], "cu_seqlens": [0, *ends],
+                         "position_resets": [0, *ends[:-1]], "ids_crc32": ids_crc32(flat), "ids": whole.tobytes()})
         return pa.Table.from_pylist(rows, schema=SCHEMA)
 
-    return (settled.withColumn("__group", F.floor(F.col("sequence_id") / GROUP)).groupBy("__group")
-            .applyInArrow(build, WINDOWS))
+    return (token_pieces(docs, capacity, json_path, rank_path)
+            .withColumn("__shard", F.pmod(F.xxhash64("doc_id", "start", "crc", "nth"), F.lit(shards)))
+            .drop("nth").groupBy("__shard").applyInArrow(build, WINDOWS))
 
 
 SCHEMA = pa.schema([("sequence_id", pa.int64()), ("n_tokens", pa.int64()), ("n_segments", pa.int32()),

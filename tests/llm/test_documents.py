@@ -281,6 +281,17 @@ def test_best_fit_packing(any_docs):
             assert np.array_equal(np.concatenate([found[doc][s] for s in sorted(found[doc])]), ids_of(ts[0]))
 
 
+def test_best_fit_packing_with_repeats(spark):
+    """Rows without id that are the same, more than a shard holds; every shard count packs the same ids tightly."""
+    rows = [(None, "same words here")] * 300 + [(i, "w" * (i % 50)) for i in range(100)] + [(7, "a b c " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    n_ids = sum(len(ids_of(t)) for _, t in rows)
+    for shard_bytes in (1 << 12, 1 << 22):
+        got = bfd_packing.pack(docs, shard_bytes=shard_bytes).collect()
+        assert sum(r.n_tokens for r in got) == n_ids and len({r.sequence_id for r in got}) == len(got)
+    assert len(got) <= -(-n_ids // 2048) + 1
+
+
 # language model
 
 def test_hidden_markov(any_docs):
