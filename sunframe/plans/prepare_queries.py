@@ -331,16 +331,19 @@ def _smooth_ewma(spark, sf):
     return cleaning.smooth_ewma(view(spark, sf, "readings"), BY_DEVICE, SMOOTH, 3).select("reading_id", *SMOOTH)
 
 
+# Five-point quadratic weights times 35, per position in the window.
+SAVGOL_5 = ((31, 9, -3, -5, 3), (9, 13, 12, 6, -5), (-3, 12, 17, 12, -3), (-5, 6, 12, 13, 9), (3, -5, -3, 9, 31))
+
+
 def _savgol_sql(c: str) -> str:
-    """Fixed five-point quadratic weights: inside, and the fitted ends."""
-    w = cleaning.savgol_weights(5)
+    """Inside the series the middle row of weights, at its ends the fitted ones."""
 
     def fit(position: int) -> str:
         out = []
-        for k, v in enumerate(w[position]):
+        for k, v in enumerate(SAVGOL_5[position]):
             step = k - position
             at = c if step == 0 else (f"lead({c}, {step}) OVER w" if step > 0 else f"lag({c}, {-step}) OVER w")
-            out.append(f"{at} * ({float(v)!r})")
+            out.append(f"{at} * ({v} / 35.0::DOUBLE)")
         return " + ".join(out)
 
     return (f"CASE WHEN count(*) OVER (PARTITION BY device_id) <= 5 THEN {c} "
