@@ -52,18 +52,19 @@ def fit_seasonal(df: DataFrame, keys: list[str], ts: str, value: str, ridge: flo
 
     @F.pandas_udf("coefficients array<double>, sigma double")
     def solve(rows: pd.Series, yy: pd.Series, xy: pd.Series, xx: pd.Series) -> pd.DataFrame:
-        out = []
+        if rows.empty:
+            return pd.DataFrame({"coefficients": [], "sigma": []})
         penalty = np.eye(p) * ridge
         penalty[0, 0] = 1e-9
-        upper = np.triu_indices(p)
-        for n, square, a, b in zip(rows, yy, xy, xx):
-            gram = np.zeros((p, p))
-            gram[upper] = b
-            gram = gram + np.triu(gram, 1).T
-            beta = np.linalg.solve(gram + penalty, a)
-            rest = max(square - 2 * beta @ a + beta @ gram @ beta, 0.0)
-            out.append((beta.tolist(), math.sqrt(rest / max(n - p, 1))))
-        return pd.DataFrame(out, columns=["coefficients", "sigma"])
+        i, j = np.triu_indices(p)
+        gram = np.zeros((len(rows), p, p))
+        gram[:, i, j] = gram[:, j, i] = np.stack(xx.to_list())
+        a = np.stack(xy.to_list()).astype(float)
+        beta = np.linalg.solve(gram + penalty, a[:, :, None])[:, :, 0]
+        fitted = np.einsum("np,npq,nq->n", beta, gram, beta)
+        rest = np.maximum(yy.to_numpy(float) - 2 * (beta * a).sum(axis=1) + fitted, 0.0)
+        sigma = np.sqrt(rest / np.maximum(rows.to_numpy(float) - p, 1))
+        return pd.DataFrame({"coefficients": beta.tolist(), "sigma": sigma})
 
     solved = solve("rows", "_yy", F.array(*[f"_xy{i}" for i in range(p)]),
                    F.array(*[f"_xx{i}_{j}" for i, j in cross]))
