@@ -8,8 +8,8 @@ is a sample of the whole one: under the hypothesis that a candidate reaches the
 about normal with the product of the residual lengths over sqrt(unseen dimensions) as its deviation; candidates
 for which the test rejects this are abandoned. What remains is multiplied out on the original vectors, in doubles.
 
-Lists longer than ``PART_ROWS`` are cut into parts by hash, each meeting the list's queries, so a crowded list is
-many tasks. Copies of a vector beyond the k+1 smallest ids are dropped first and queries are solved once per
+Lists longer than ``PART_ROWS`` are cut into parts by hash, each meeting the list's queries in slices of
+``TASK_BLOCKS`` query blocks, so a crowded list is many tasks and no task holds all queries. Copies of a vector beyond the k+1 smallest ids are dropped first and queries are solved once per
 distinct vector. A query's first bar comes from the bounded sample (a true lower bound of its k-th score).
 
 Defined cases: vectors that are NULL, empty, zero, or hold NULL or non-finite components, and rows without an id
@@ -42,6 +42,8 @@ DEVIATIONS = 3.0
 #: Below this share of candidates left, they are followed one by one instead of in whole column blocks.
 SPARSE = 0.02
 QUERY_BLOCK = 2_048
+#: Query blocks that meet a list part in one task; more queries are more tasks.
+TASK_BLOCKS = 16
 
 
 def nonzero(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +143,8 @@ def scan_part(queries: np.ndarray, bars: np.ndarray, vecs: np.ndarray, ids: np.n
     return best
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = RECALL) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = RECALL, query_block: int = QUERY_BLOCK,
+           task_blocks: int = TASK_BLOCKS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k nearest found of each query, itself left out."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
@@ -180,7 +183,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
     parts = np.maximum(1, -(-counts // PART_ROWS))
     part_of = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), (F.col("list") + 1).cast("int"))
     members = listed.withColumn("part", F.pmod(F.xxhash64("vec_id"), part_of.cast("long")))
-    numbered, _ = query_keys(asked, QUERY_BLOCK, scratch)
+    numbered, n_blocks = query_keys(asked, query_block, scratch)
+    slices = -(-n_blocks // task_blocks)  # a list part and this share of the queries are one task
+    members = members.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
 
     def probe(batches):
         c, r, some, _ = model.value
@@ -197,9 +202,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
             take = pa.array(at)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(which.astype(np.int64)), pa.array(part.astype(np.int64)), batch.column(0).take(take),
-                 batch.column(1).take(take), pa.array(bars[at])], names=["list", "part", "qid", "vec", "bar"])
+                 batch.column(1).take(take), batch.column(2).take(take), pa.array(bars[at])],
+                names=["list", "part", "qid", "vec", "slice", "bar"])
 
-    probing = numbered.select("qid", "vec").mapInArrow(probe, "list long, part long, qid long, vec binary, bar double")
+    probing = numbered.select("qid", "vec", F.pmod("qblock", F.lit(slices)).cast("long").alias("slice")).mapInArrow(
+        probe, "list long, part long, qid long, vec binary, slice long, bar double")
 
     def scan(held: pa.Table, asking: pa.Table) -> pa.Table:
         empty = pa.table({"qid": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -226,7 +233,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
                                                  names=["qid", "vec_id", "score"])
 
     begun = numbered.select("qid", "vec").mapInArrow(first, "qid long, vec_id long, score double")
-    partial = (members.groupBy("list", "part").cogroup(probing.groupBy("list", "part"))
+    met = ["list", "part", "slice"]
+    partial = (members.groupBy(*met).cogroup(probing.groupBy(*met))
                .applyInArrow(scan, "qid long, vec_id long, score double"))
     return ranked(partial.union(begun).dropDuplicates(["qid", "vec_id"]), asked, numbered, k)
 

@@ -59,6 +59,12 @@ def test_approximate(vectors):
         assert all(abs(s - vec[q] @ vec[i]) < 1e-9 for i, s in best)
 
 
+def test_query_slices_change_nothing(vectors):
+    _, df = vectors
+    is_query = F.col("vec_id") % 20 == 0
+    assert lists(ann.search(df, is_query, query_block=4, task_blocks=2)) == lists(ann.nearest_twenty(df))
+
+
 def test_recall_on_the_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
