@@ -78,7 +78,7 @@ VIEWS: dict[str, str] = {
                CAST(10 + c_custkey % 30 AS DOUBLE) AS willing_to_travel_km,
                {_SCORE.format(b='c_acctbal')} AS financial_score,
                {_RATING.format(k='c_nationkey')} AS credit_rating
-        FROM customer WHERE c_custkey % 5 <> 0""",
+        FROM customer""",
     "investors": f"""
         SELECT c_custkey AS investor_id,
                12.5 + CAST((c_custkey * 41) % 1000 AS DOUBLE) / 1000 AS latitude,
@@ -89,7 +89,7 @@ VIEWS: dict[str, str] = {
                CAST(50 AS DOUBLE) AS willing_to_travel_km,
                {_SCORE.format(b='c_acctbal')} AS financial_score,
                {_RATING.format(k='c_nationkey')} AS credit_rating
-        FROM customer WHERE c_custkey % 5 = 0""",
+        FROM customer""",
     "host_spaces": """
         SELECT s_suppkey AS id, s_suppkey AS host_id, s_name AS host_name, n_name AS city,
                r_name AS state,

@@ -371,16 +371,20 @@ def _match_metrics(spark, sf):
     return investing.match_metrics(investing.price_match(view(spark, sf, "energy_buyers"), view(spark, sf, "energy_hosts")))
 
 
+_HIGH_SUN = "CASE WHEN zenith_angle < 60 THEN ghi END"
+
+
 @query("weather_enrich", f"""
     SELECT reading_id, {r('w.irradiance', 'irradiance')}, {r('w.zenith', 'zenith')} FROM readings r
-    LEFT JOIN (SELECT date_trunc('hour', event_ts) AS hour_ts, device_id, avg(ghi) AS irradiance, avg(zenith_angle) AS zenith
-               FROM irradiance WHERE zenith_angle < 60 GROUP BY 1, 2) w
+    LEFT JOIN (SELECT date_trunc('hour', event_ts) AS hour_ts, device_id,
+               avg(CASE WHEN zenith_angle < 60 THEN ghi END) AS irradiance, avg(zenith_angle) AS zenith
+               FROM irradiance GROUP BY 1, 2) w
       ON w.hour_ts = date_trunc('hour', r.event_ts) AND w.device_id = r.device_id""", "readings irradiance")
 def _weather_enrich(spark, sf):
-    """Hours without a high sun have no irradiance report."""
-    reports = view(spark, sf, "irradiance").where(F.col("zenith_angle") < 60).groupBy(
+    """Reports without a high sun have no irradiance."""
+    reports = view(spark, sf, "irradiance").groupBy(
         F.date_trunc("hour", "event_ts").alias("hour_ts"), "device_id").agg(
-        F.avg("ghi").alias("irradiance"), F.avg("zenith_angle").alias("zenith"))
+        F.avg(F.expr(_HIGH_SUN)).alias("irradiance"), F.avg("zenith_angle").alias("zenith"))
     df = view(spark, sf, "readings").select("reading_id", "device_id", "event_ts")
     return enrich.weather_enrich(df, reports, ["device_id"], "event_ts", "hour_ts", ["irradiance", "zenith"]).select(
         "reading_id", "irradiance", "zenith")
@@ -391,7 +395,8 @@ def _weather_enrich(spark, sf):
         SELECT device_id, event_ts, ghi FROM irradiance WHERE zenith_angle < 60) w
       ON w.device_id = r.device_id AND r.event_ts >= w.event_ts""", "readings irradiance")
 def _weather_as_of(spark, sf):
-    reports = view(spark, sf, "irradiance").where(F.col("zenith_angle") < 60).select(
-        "device_id", F.col("event_ts").alias("hour_ts"), "ghi")
+    """Reports without a high sun have blank cells; the latest known value counts."""
+    reports = view(spark, sf, "irradiance").select(
+        "device_id", F.col("event_ts").alias("hour_ts"), F.expr(_HIGH_SUN).alias("ghi"))
     df = view(spark, sf, "readings").select("reading_id", "device_id", "event_ts")
     return enrich.weather_as_of(df, reports, BY_DEVICE, "hour_ts", ["ghi"]).select("reading_id", "ghi")
