@@ -8,8 +8,9 @@ is a sample of the whole one: under the hypothesis that a candidate reaches the
 about normal with the product of the residual lengths over sqrt(unseen dimensions) as its deviation; candidates
 for which the test rejects this are abandoned. What remains is multiplied out on the original vectors, in doubles.
 
-Lists longer than ``PART_ROWS`` are cut into parts by hash, each meeting the list's queries in slices of
-``TASK_BLOCKS`` query blocks, so a crowded list is many tasks and no task holds all queries. Copies of a vector beyond the k+1 smallest ids are dropped first and queries are solved once per
+Lists longer than ``PART_ROWS`` are cut into parts by hash. A streamed task takes a stripe of list parts and a slice
+of ``TASK_BLOCKS`` query blocks, one part at a time; its queries' best so far are bars for the parts that follow, and it
+returns at most k+1 rows a query. So a crowded list is many tasks and no task holds all queries. Copies of a vector beyond the k+1 smallest ids are dropped first and queries are solved once per
 distinct vector. A query's first bar comes from the bounded sample (a true lower bound of its k-th score).
 
 Defined cases: vectors that are NULL, empty, zero, or hold NULL or non-finite components, and rows without an id
@@ -143,8 +144,28 @@ def scan_part(queries: np.ndarray, bars: np.ndarray, vecs: np.ndarray, ids: np.n
     return best
 
 
+class Kept:
+    """The best found so far of the queries that one task has met."""
+
+    def __init__(self, k: int):
+        self.k, self.row, self.best = k, {}, Best(1024, k, np.float64)
+
+    def rows_of(self, qids: np.ndarray) -> np.ndarray:
+        rows = np.array([self.row.setdefault(q, len(self.row)) for q in qids.tolist()], dtype=np.int64)
+        if len(self.row) > len(self.best.ids):
+            more = Best(2 * len(self.row) - len(self.best.ids), self.k, np.float64)
+            self.best.scores = np.concatenate([self.best.scores, more.scores])
+            self.best.ids = np.concatenate([self.best.ids, more.ids])
+        return rows
+
+    def batch(self) -> pa.RecordBatch:
+        at, ids, scores = self.best.rows(np.arange(len(self.best.ids)))
+        qids = np.fromiter(self.row, dtype=np.int64, count=len(self.row))[at]
+        return pa.RecordBatch.from_arrays([pa.array(qids), pa.array(ids), pa.array(scores)], names=["qid", "vec_id", "score"])
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = RECALL, query_block: int = QUERY_BLOCK,
-           task_blocks: int = TASK_BLOCKS) -> DataFrame:
+           task_blocks: int = TASK_BLOCKS, stripes: int | None = None) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k nearest found of each query, itself left out."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
@@ -208,20 +229,37 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
     probing = numbered.select("qid", "vec", F.pmod("qblock", F.lit(slices)).cast("long").alias("slice")).mapInArrow(
         probe, "list long, part long, qid long, vec binary, slice long, bar double")
 
-    def scan(held: pa.Table, asking: pa.Table) -> pa.Table:
-        empty = pa.table({"qid": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not len(held) or not len(asking):
-            return empty
-        vecs = np.frombuffer(b"".join(held.column("vec").to_pylist()), dtype="<f8").reshape(-1, dim)
-        ids = held.column("vec_id").to_numpy()
-        got = [empty]
-        for at in range(0, len(asking), QUERY_BLOCK):
-            some = asking.slice(at, QUERY_BLOCK)
-            qs = np.frombuffer(b"".join(some.column("vec").to_pylist()), dtype="<f8").reshape(-1, dim)
-            best = scan_part(qs, some.column("bar").to_numpy(), vecs, ids, model.value[3], k)
-            q, v, s = best.rows(some.column("qid").to_numpy())
-            got.append(pa.table({"qid": q, "vec_id": v, "score": s}))
-        return pa.concat_tables(got)
+    def scan(batches):
+        kept, task, place, held = None, None, None, []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in range(5)], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+                if start == end:
+                    continue
+                *here, is_query = keys[start].tolist()
+                some = batch.slice(start, end - start)
+                if here[:2] != task:
+                    if kept is not None:
+                        yield kept.batch()
+                    kept, task = Kept(k), here[:2]
+                if here != place:
+                    place, held = here, []
+                vecs = np.frombuffer(b"".join(some.column("vec").to_pylist()), dtype="<f8").reshape(-1, dim)
+                idents = some.column("ident").to_numpy()
+                if not is_query:
+                    held.append((vecs, idents))
+                elif held:
+                    held = [tuple(np.concatenate(x) for x in zip(*held))]
+                    for at in range(0, len(vecs), QUERY_BLOCK):
+                        few_q = slice(at, at + QUERY_BLOCK)
+                        rows = kept.rows_of(idents[few_q])
+                        bars = np.maximum(some.column("bar").to_numpy()[few_q], kept.best.bar()[rows])
+                        best = scan_part(vecs[few_q], bars, *held[0], model.value[3], k)
+                        found, ids, scores = best.rows(rows)
+                        kept.best.add(found, scores, ids)
+        if kept is not None:
+            yield kept.batch()
 
     def first(batches):
         for batch in batches:
@@ -233,9 +271,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
                                                  names=["qid", "vec_id", "score"])
 
     begun = numbered.select("qid", "vec").mapInArrow(first, "qid long, vec_id long, score double")
-    met = ["list", "part", "slice"]
-    partial = (members.groupBy(*met).cogroup(probing.groupBy(*met))
-               .applyInArrow(scan, "qid long, vec_id long, score double"))
+    # each task goes through its stripe of list parts with its queries' best so far as bars
+    names = ["stripe", "slice", "list", "part", "kind", "ident", "vec", "bar"]
+    stripe = F.pmod(F.col("list") + F.col("part"), F.lit(stripes or max(2, spark.sparkContext.defaultParallelism))).cast("long")
+    both = (members.withColumns({"kind": F.lit(0).cast("long"), "bar": F.lit(0.0), "stripe": stripe})
+            .withColumnRenamed("vec_id", "ident").select(names)
+            .union(probing.withColumns({"kind": F.lit(1).cast("long"), "stripe": stripe})
+                   .withColumnRenamed("qid", "ident").select(names)))
+    partial = (both.repartition("stripe", "slice").sortWithinPartitions("stripe", "slice", "list", "part", "kind")
+               .mapInArrow(scan, "qid long, vec_id long, score double"))
     return ranked(partial.union(begun).dropDuplicates(["qid", "vec_id"]), asked, numbered, k)
 
 

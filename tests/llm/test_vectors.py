@@ -62,7 +62,7 @@ def test_approximate(vectors):
 def test_query_slices_change_nothing(vectors):
     _, df = vectors
     is_query = F.col("vec_id") % 20 == 0
-    assert lists(ann.search(df, is_query, query_block=4, task_blocks=2)) == lists(ann.nearest_twenty(df))
+    assert lists(ann.search(df, is_query, query_block=4, task_blocks=2, stripes=3)) == lists(ann.nearest_twenty(df))
 
 
 def test_recall_on_the_table(spark):
