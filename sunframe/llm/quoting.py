@@ -4,7 +4,9 @@ A line's quote level is the number of ``>`` before its text. Consecutive lines o
 normalised form (lower case, single spaces) is hashed. What a message says itself (level 0) is hashed as a whole, by
 paragraph and by line. A quoted passage links to the message it was taken from: the latest earlier message of the
 same conversation that says it, or else the first message anywhere. A message's parent is the source of its first
-level-1 passage that has one; parents inside the conversation are always earlier, so replies form trees, whose roots
+level-1 passage that has one. A passage that nobody says as a whole (a trimmed quote) is sought by its parts, which are its
+paragraphs, lines and sentences, among the same parts of messages; the longest part with a source decides. Parents inside
+the conversation are always earlier, so replies form trees, whose roots
 are found by doubling pointers.
 
 Only DataFrame expressions run. The search within a conversation is an ordered window over (conversation, passage);
@@ -28,6 +30,9 @@ from .tools import Scratch
 PREFIX = r"^([ \t]*>)+"
 INTRODUCTION = r"^(?i)[ \t]*(on .{1,200} wrote|am .{1,200} schrieb.*|le .{1,200} a écrit|el .{1,200} escribió)[ \t]*:[ \t]*$"
 
+#: Fixed: where a sentence of normalised text ends.
+SENTENCE = r"(?<=[.!?…]) |(?<=[。！？])"
+
 
 def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
@@ -39,6 +44,14 @@ def digest(text: Column) -> Column:
     return F.when(plain.rlike(r"[\p{L}\p{N}]"), F.md5(plain))
 
 
+def parts(text: Column) -> Column:
+    """array<struct<size, hash>>: the whole text, its paragraphs, lines and sentences, those without letters left out."""
+    pieces = F.concat(F.array(text), F.split(text, r"\n\s*\n"), F.split(text, "\n"))
+    sentences = F.flatten(F.transform(pieces, lambda x: F.split(normalised(x), SENTENCE)))
+    hashed = F.transform(F.concat(pieces, sentences), lambda x: F.struct(F.length(normalised(x)).alias("size"), digest(x).alias("hash")))
+    return F.filter(hashed, lambda x: x.hash.isNotNull())
+
+
 def parsed_lines(text: Column) -> Column:
     """array<struct<level, body, intro>>, one per line."""
     def line(x: Column, i: Column) -> Column:
@@ -68,10 +81,10 @@ def cleaned(messages: DataFrame) -> DataFrame:
         F.get(F.col("__lines"), i + 1).level > 0, F.lit(False))))
     own = F.array_join(F.transform(kept, lambda x: x.body), "\n")
     df = df.withColumn("clean_text", F.when(quoted, F.regexp_replace(F.trim(own), r"^\s+|\s+$", "")).otherwise(F.col("text")))
-    parts = F.transform(F.filter(passages(F.col("__lines")), lambda p: p.level > 0),
-                        lambda p: F.struct(p.level.alias("level"), digest(p.body).alias("hash")))
-    df = df.withColumn("quotes", F.when(quoted, F.filter(parts, lambda p: p.hash.isNotNull()))
-                       .otherwise(F.array().cast("array<struct<level:int,hash:string>>")))
+    runs = F.transform(F.filter(passages(F.col("__lines")), lambda p: p.level > 0),
+                       lambda p: F.struct(p.level.alias("level"), digest(p.body).alias("hash"), p.body.alias("body")))
+    df = df.withColumn("quotes", F.when(quoted, F.filter(runs, lambda p: p.hash.isNotNull()))
+                       .otherwise(F.array().cast("array<struct<level:int,hash:string,body:string>>")))
     units = F.concat(F.array(F.col("clean_text")), F.split("clean_text", r"\n\s*\n"), F.split("clean_text", "\n"))
     said = F.array_distinct(F.array_compact(F.transform(units, digest)))
     level = F.coalesce(F.array_max(F.transform("__lines", lambda x: x.level)), F.lit(0))
@@ -79,21 +92,16 @@ def cleaned(messages: DataFrame) -> DataFrame:
                      level.alias("max_quote_level"))
 
 
-def linked(clean: DataFrame) -> DataFrame:
-    """``conv_id, turn, at, parent_conv, parent_turn`` of every quoted passage that has a source; at is its place."""
-    named = clean.where("conv_id is not null and turn is not null")
-    said = named.select("conv_id", "turn", F.explode("said").alias("hash")).distinct()
-    quotes = named.select("conv_id", "turn", F.posexplode("quotes").alias("at", "q")).select(
-        "conv_id", "turn", "at", F.col("q.level").alias("level"), F.col("q.hash").alias("hash")).distinct()
+def sources(said: DataFrame, quotes: DataFrame) -> DataFrame:
+    """The rows of ``quotes`` (conv_id, turn, at, hash and more) whose hash is said, with parent_conv and parent_turn."""
     wanted = said.join(quotes.select("hash").distinct(), "hash", "left_semi")
-    events = (wanted.select("conv_id", "hash", "turn", F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("level"))
-              .unionByName(quotes))
+    events = wanted.select("conv_id", "hash", "turn").unionByName(quotes, allowMissingColumns=True)
     # sayings of earlier turns only: a range frame that ends one turn before
     before = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     near = events.withColumn("near", F.max(F.when(F.col("at").isNull(), F.col("turn"))).over(before)).where("at is not null")
     first = wanted.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("far"))
     out = near.join(first, "hash", "left").select(
-        "conv_id", "turn", "at", "level",
+        *quotes.columns,
         F.when(F.col("near").isNotNull(), F.col("conv_id")).otherwise(F.col("far.conv_id")).alias("parent_conv"),
         F.coalesce("near", "far.turn").alias("parent_turn"))
     # a message quoting only what it says itself has no source; neither has one quoted before it was said
@@ -101,9 +109,29 @@ def linked(clean: DataFrame) -> DataFrame:
     return out.where(F.col("parent_turn").isNotNull() & ~(own & (F.col("parent_turn") >= F.col("turn"))))
 
 
+def linked(clean: DataFrame, scratch: Scratch) -> DataFrame:
+    """``conv_id, turn, at, level, parent_conv, parent_turn`` of every quoted passage that has a source; at is its place."""
+    named = clean.where("conv_id is not null and turn is not null")
+    said = named.select("conv_id", "turn", F.explode("said").alias("hash")).distinct()
+    quotes = named.select("conv_id", "turn", F.posexplode("quotes").alias("at", "q")).select(
+        "conv_id", "turn", "at", F.col("q.level").alias("level"), F.col("q.hash").alias("hash"), F.col("q.body").alias("body"))
+    whole = scratch.save(sources(said, quotes.drop("body").distinct()), "whole")
+    run = ["conv_id", "turn", "at", "level", "run"]
+    trimmed = (quotes.join(whole.select("conv_id", "turn", "at", "hash"), ["conv_id", "turn", "at", "hash"], "left_anti")
+               .select("conv_id", "turn", "at", "level", F.col("hash").alias("run"), F.posexplode(parts(F.col("body"))).alias("place", "p"))
+               .groupBy(*run, F.col("p.hash").alias("hash"), F.col("p.size").alias("size")).agg(F.min("place").alias("place")))
+    trimmed = scratch.save(trimmed, "trimmed")
+    pieces = named.select("conv_id", "turn", F.explode(F.transform(parts(F.col("clean_text")), lambda p: p.hash)).alias("hash")).distinct()
+    longest = sources(pieces, trimmed).groupBy(*run).agg(F.max_by(
+        F.struct("parent_conv", "parent_turn"), F.struct("size", -F.col("place"))).alias("p"))
+    columns = ["conv_id", "turn", "at", "level", "parent_conv", "parent_turn"]
+    return whole.select(columns).union(longest.select(*columns[:4], "p.parent_conv", "p.parent_turn"))
+
+
 def reply_trees(clean: DataFrame, scratch: Scratch, max_rounds: int = 40) -> DataFrame:
     """All rows of ``clean`` with parent, root and depth, sorted so that replies follow what they answer."""
-    links = scratch.save(linked(clean), "links")
+    links = scratch.save(linked(clean, scratch), "links")
+    scratch.drop("whole", "trimmed")
     keys = ["conv_id", "turn"]
     found = links.groupBy(*keys).agg(F.count("*").alias("n_linked"), F.min(F.when(
         F.col("level") == 1, F.struct("at", "parent_conv", "parent_turn"))).alias("first"))
