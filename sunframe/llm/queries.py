@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bfd_packing, curriculum, exact_topk, hmm, langid, pii, quoting, retrieval_packing, simhash
+from . import (ann, bfd_packing, curriculum, exact_topk, hmm, langid, periodic_runs, pii, quoting, retrieval_packing,
+               simhash)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -135,3 +136,44 @@ LEFT JOIN roots r ON r.conv_id = m.conv_id AND r.turn = m.turn
 @query("op4_quotation_links", OP4_SQL)
 def op4(spark, sf_dir):
     return quoting.conversations_without_quotes(table(spark, sf_dir, "conversations"))
+
+
+#: The SQL twin of op12: equal words of a document give (place, distance) pairs, their islands the runs.
+OP12_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS id, doc_id,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+hashed AS (
+  SELECT id, doc_id, w, len(w) AS n, CASE WHEN doc_id IS NULL THEN 1 ELSE xor(4294967295, list_reduce(
+    list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda s, c: list_reduce(range(8), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END,
+                             xor(s, c)), CAST(4294967295 AS BIGINT))) END AS h FROM texts),
+starts AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM hashed),
+periods AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM starts),
+words AS (
+  SELECT id, i, w[1 + CASE WHEN a IS NULL OR i < a THEN i ELSE a + (i - a) % p END] AS word
+  FROM periods, unnest(range(n)) u(i)),
+pairs AS (
+  SELECT x.id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.id = y.id AND x.word = y.word AND x.i < y.i),
+islands AS (SELECT id, q, i, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS g FROM pairs),
+whole AS (
+  SELECT id, q, min(i) AS s, max(i) + 1 + q AS e FROM islands GROUP BY id, q, g
+  HAVING max(i) + 1 + q - min(i) >= greatest(12, 2 * q)),
+runs AS (SELECT id, s, e, min(q) AS q FROM whole GROUP BY id, s, e),
+gone AS (SELECT DISTINCT id, i FROM runs, unnest(range(s + q, e)) u(i)),
+kept AS (
+  SELECT id, string_agg(word, ' ' ORDER BY i) AS words FROM words ANTI JOIN gone USING (id, i) GROUP BY id),
+listed AS (
+  SELECT id, count(*) AS n_runs, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS runs,
+         max({'l': e - s, 's': -s, 'q': -q}) AS best FROM runs GROUP BY id)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(-best.s AS BIGINT) AS start,
+       CAST(best.l AS BIGINT) AS length, CAST(-best.q AS BIGINT) AS period,
+       CAST(1000 * best.l // -best.q AS BIGINT) AS exponent_milli,
+       sha256(coalesce(listed.runs, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM texts LEFT JOIN listed USING (id) LEFT JOIN kept USING (id)
+"""
+
+
+@query("op12_periodic_runs", OP12_SQL)
+def op12(spark, sf_dir):
+    return periodic_runs.run_report(table(spark, sf_dir, "documents"))
