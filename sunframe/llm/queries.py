@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (ann, bfd_packing, curriculum, exact_topk, hmm, langid, periodic_runs, pii, quoting, retrieval_packing,
-               simhash)
+from . import (alignment, ann, bfd_packing, curriculum, exact_topk, hmm, langid, periodic_runs, pii, quoting,
+               retrieval_packing, simhash)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -177,3 +177,8 @@ FROM texts LEFT JOIN listed USING (id) LEFT JOIN kept USING (id)
 @query("op12_periodic_runs", OP12_SQL)
 def op12(spark, sf_dir):
     return periodic_runs.run_report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_alignment")
+def op11(spark, sf_dir):
+    return alignment.alignment_report(table(spark, sf_dir, "documents"))

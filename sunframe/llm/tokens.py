@@ -58,19 +58,23 @@ class Encoder:
             self._exact = Tokenizer.from_file(self.json_path)
         return self._exact
 
+    def plain(self, text: str) -> list[int]:
+        """The ids of the text; special strings in it are plain text."""
+        cuts = [m.start() for m in CUT.finditer(text)]
+        if not cuts:
+            return self.encode(text)
+        out = []
+        for start, end in zip([0, *cuts], [*cuts, len(text)]):
+            out += self.encode(text[start:end])
+        return out
+
     def ids(self, text: str | None) -> np.ndarray:
         """The ids of the text and the end id."""
         text = text or ""
         if self.special is not None and self.special.search(text):
             out = self.exact.encode(text, add_special_tokens=False).ids
         else:
-            cuts = [m.start() for m in CUT.finditer(text)]
-            if cuts:
-                out = []
-                for start, end in zip([0, *cuts], [*cuts, len(text)]):
-                    out += self.encode(text[start:end])
-            else:
-                out = self.encode(text)
+            out = self.plain(text)
         out.append(END)
         return np.array(out, dtype=self.dtype)
 
