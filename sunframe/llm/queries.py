@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (alignment, ann, bfd_packing, curriculum, exact_topk, hmm, langid, periodic_runs, pii, quoting,
-               retrieval_packing, simhash)
+               retrieval_packing, simhash, toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -182,3 +182,8 @@ def op12(spark, sf_dir):
 @query("op11_token_alignment")
 def op11(spark, sf_dir):
     return alignment.alignment_report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_weak_toxicity")
+def op13(spark, sf_dir):
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
