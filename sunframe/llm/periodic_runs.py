@@ -11,7 +11,8 @@ those at which three words on either side recur; their extents to both sides are
 begins and of the reversed text that ends there (taken directly for a few periods, by the linear Z-algorithm for many).
 Neighbouring tiles overlap by more than the shortest interval that counts, so the fragments of a long run touch:
 they are shuffled by document and period and joined into whole intervals. An interval found for several periods
-keeps the smallest one. Documents that fit in one tile are solved where they are read, many at once.
+keeps the smallest one. Documents that fit in one tile are solved where they are read, many at once; their intervals are
+whole, so nothing of them is shuffled.
 
 Defined cases: a NULL, empty or white text has no words and no run; repeated rows and repeated or NULL ids return a
 row each; extra columns are ignored; an empty table gives an empty result.
@@ -43,7 +44,7 @@ BATCH_WORDS = 200_000
 #: Periods at one boundary from which on the linear Z-algorithm is the cheaper way.
 MANY = 256
 
-FRAGMENT = "array<struct<q:long,s:long,e:long>>"
+RUNS = "array<struct<start:long,length:long,period:long>>"
 
 
 def least_interval(q):
@@ -177,26 +178,25 @@ def runs_of_words(docs: DataFrame, scratch: Scratch, rewrite=None, keep_text: bo
 
         def solve():
             nonlocal rows, codes, total
-            if not rows:
-                return
-            whole = np.concatenate(codes) if codes else np.zeros(0, dtype=np.int64)
-            starts = np.array([r["at"] for r in rows if r["tile"]], dtype=np.int64)
             owners = [r for r in rows if r["tile"]]
+            starts = np.array([r["at"] for r in owners], dtype=np.int64)
             longest = max((r["n_words"] for r in owners), default=0)
             if longest >= LEAST:
-                for q, s, e in fragments(whole, 1, longest // REPEATS):
+                for q, s, e in fragments(np.concatenate(codes), 1, longest // REPEATS):
                     owner = owners[int(np.searchsorted(starts, s, side="right")) - 1]
-                    owner["fragments"].append({"q": q, "s": s - owner["at"], "e": e - owner["at"]})
+                    span = s - owner["at"], e + q - owner["at"]
+                    owner["found"][span] = min(q, owner["found"].get(span, q))
             for r in rows:
-                keep = keep_text or r["fragments"] or not r["tile"]
-                yield {"row": r["row"], "doc_id": r["doc_id"], "n_words": r["n_words"], "plain": r["plain"],
-                       "words": r["words"].decode() if keep else None, "fragments": r["fragments"] or None,
-                       "at": None, "low": None, "high": None, "codes": None}
+                runs = [{"start": s, "length": e - s, "period": q} for (s, e), q in sorted(r["found"].items())]
+                keep = keep_text or runs or not r["tile"]
+                yield {"row": r["row"], "doc_id": r["doc_id"], "n_words": r["n_words"], "plain_sha256": r["plain"],
+                       "words": r["words"].decode() if keep else None, "runs": sorted(runs, key=lambda x: (x["start"], x["period"])) or None,
+                       "tiled": not r["tile"], "at": None, "low": None, "high": None, "codes": None}
                 if not r["tile"]:
                     own = word_codes(r["words"].split())
                     for start, end, low, high in tile_plan(r["n_words"], tile):
-                        yield {"row": r["row"], "doc_id": None, "n_words": None, "plain": None, "words": None,
-                               "fragments": None, "at": start, "low": low, "high": high,
+                        yield {"row": r["row"], "doc_id": None, "n_words": None, "plain_sha256": None, "words": None,
+                               "runs": None, "tiled": None, "at": start, "low": low, "high": high,
                                "codes": own[start:end].astype(np.int32).tobytes()}
             rows, codes, total = [], [], 0
 
@@ -206,7 +206,7 @@ def runs_of_words(docs: DataFrame, scratch: Scratch, rewrite=None, keep_text: bo
                 if rewrite is not None:
                     words = rewrite(doc_id, words)
                 joined = b" ".join(words)
-                row = {"row": first + number, "doc_id": doc_id, "n_words": len(words), "words": joined, "fragments": [],
+                row = {"row": first + number, "doc_id": doc_id, "n_words": len(words), "words": joined, "found": {},
                        "plain": hashlib.sha256(joined).hexdigest(), "tile": len(words) <= tile, "at": total}
                 number += 1
                 rows.append(row)
@@ -218,9 +218,10 @@ def runs_of_words(docs: DataFrame, scratch: Scratch, rewrite=None, keep_text: bo
         yield from _batches(solve())
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    read = scratch.save(slim.mapInArrow(scan, "row long, doc_id long, n_words long, plain string, words string, "
-                                              f"fragments {FRAGMENT}, at long, low long, high long, codes binary"), "read")
-    whole, tiles = read.where("codes is null"), read.where("codes is not null").select("row", "at", "low", "high", "codes")
+    read = scratch.save(slim.mapInArrow(scan, f"row long, doc_id long, n_words long, plain_sha256 string, words string, runs {RUNS}, "
+                                              "tiled boolean, at long, low long, high long, codes binary"), "read")
+    columns = ["row", "doc_id", "n_words", "plain_sha256", "words"]
+    tiles = read.where("codes is not null").select("row", "at", "low", "high", "codes")
 
     def solve_tiles(batches):
         for batch in batches:
@@ -232,24 +233,22 @@ def runs_of_words(docs: DataFrame, scratch: Scratch, rewrite=None, keep_text: bo
                         [pa.array(np.full(len(found), r["row"])), pa.array(found[:, 0]), pa.array(found[:, 1] + r["at"]),
                          pa.array(found[:, 2] + r["at"])], names=["row", "q", "s", "e"])
 
-    parts = (tiles.repartition("row", "at", "low").mapInArrow(solve_tiles, "row long, q long, s long, e long")
-             .union(whole.select("row", F.inline("fragments")).select("row", "q", "s", "e")))
-    runs = scratch.save(stitch(parts), "runs")
-    docs_ = scratch.read("read").where("codes is null").select("row", "doc_id", "n_words", "plain", "words")
+    parts = tiles.repartition("row", "at", "low").mapInArrow(solve_tiles, "row long, q long, s long, e long")
     run = F.struct("start", "period", "length")
-    ordered = runs.groupBy(F.col("row").alias("__row")).agg(F.transform(
+    stitched = stitch(parts).groupBy(F.col("row").alias("__row")).agg(F.transform(
         F.array_sort(F.collect_list(run)),
         lambda r: F.struct(r.start.alias("start"), r.length.alias("length"), r.period.alias("period"))).alias("runs"))
-    return (docs_.join(ordered, F.col("row") == F.col("__row"), "left").drop("__row")
-            .withColumnRenamed("plain", "plain_sha256"))
+    tiled = scratch.read("read").where("tiled").select(columns)
+    return read.where("not tiled").select(*columns, "runs").union(
+        tiled.join(stitched, F.col("row") == F.col("__row"), "left").select(*columns, "runs"))
 
 
 def _batches(rows, most: int = 4 << 20):
     """Arrow batches of the rows, each of about ``most`` bytes of words and codes."""
-    kind = pa.struct([("q", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
+    kind = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
     schema = pa.schema([
-        ("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("plain", pa.string()), ("words", pa.string()),
-        ("fragments", pa.list_(kind)), ("at", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("codes", pa.binary())])
+        ("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("plain_sha256", pa.string()), ("words", pa.string()),
+        ("runs", pa.list_(kind)), ("tiled", pa.bool_()), ("at", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("codes", pa.binary())])
     held, size = [], 0
     for row in rows:
         held.append(row)
@@ -295,7 +294,7 @@ def collapsed_documents(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())],
                                              names=["doc_id", "runs", "text"])
 
-    return found.mapInArrow(collapse, "doc_id long, runs array<struct<start:long,length:long,period:long>>, text string")
+    return found.mapInArrow(collapse, f"doc_id long, runs {RUNS}, text string")
 
 
 def with_planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
@@ -311,32 +310,30 @@ def with_planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     return words[:a] + [words[a + i % p] for i in range(n - a)]
 
 
+#: Fixed: the columns of the report.
+REPORT = ("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 def run_report(docs: DataFrame) -> DataFrame:
     """One row per document: its number of runs, its longest one and digests of all runs and of the collapsed words."""
     scratch = Scratch(docs.sparkSession, "runs")
-    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"),
-                                                              (-r.period).alias("period"))))
-    told = scratch.save(runs_of_words(docs, scratch, with_planted_period).withColumn("best", best), "told")
-    kind = "struct<length:long,start:long,period:long>"
-    without = told.where("runs is null").select(
-        "doc_id", F.lit(0).cast("long").alias("n_runs"), F.lit(None).cast(kind).alias("best"),
-        F.lit(hashlib.sha256(b"").hexdigest()).alias("runs_sha256"), F.col("plain_sha256").alias("collapsed_sha256"))
+    found = runs_of_words(docs, scratch, with_planted_period).select("doc_id", "plain_sha256", "words", "runs")
+    none = hashlib.sha256(b"").hexdigest()
 
     def digest(batches):
         for batch in batches:
-            listed, kept = [], []
-            for words, runs in zip(batch.column("words").to_pylist(), batch.column("runs").to_pylist()):
-                lines = "".join(f"{r['start']},{r['length']},{r['period']}\n" for r in runs)
-                listed.append(hashlib.sha256(lines.encode()).hexdigest())
-                kept.append(hashlib.sha256(b" ".join(kept_words(words.encode().split(), runs))).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "n_runs", "best")), pa.array(listed, pa.string()), pa.array(kept, pa.string())],
-                names=["doc_id", "n_runs", "best", "runs_sha256", "collapsed_sha256"])
-
-    having = (scratch.read("told").where("runs is not null")
-              .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best", "words", "runs")
-              .mapInArrow(digest, f"doc_id long, n_runs long, best {kind}, runs_sha256 string, collapsed_sha256 string"))
-    return without.union(having).select(
-        "doc_id", "n_runs", (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
-        (-F.col("best.period")).alias("period"),
-        F.expr("1000 * best.length div -best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+            out = []
+            for r in batch.to_pylist():
+                runs = r["runs"]
+                if not runs:
+                    out.append((r["doc_id"], 0, None, None, None, None, none, r["plain_sha256"]))
+                    continue
+                best = min(runs, key=lambda x: (-x["length"], x["start"], x["period"]))
+                lines = "".join(f"{x['start']},{x['length']},{x['period']}\n" for x in runs)
+                out.append((r["doc_id"], len(runs), *best.values(), 1000 * best["length"] // best["period"],
+                            hashlib.sha256(lines.encode()).hexdigest(),
+                            hashlib.sha256(b" ".join(kept_words(r["words"].encode().split(), runs))).hexdigest()))
+            yield pa.RecordBatch.from_pylist([dict(zip(REPORT, x)) for x in out],
+                                             schema=pa.schema([(c, pa.string() if c.endswith("sha256") else pa.int64()) for c in REPORT]))
+
+    return found.mapInArrow(digest, ", ".join(f"{c} {'string' if c.endswith('sha256') else 'long'}" for c in REPORT))

@@ -37,7 +37,7 @@ def random_sequence(rng):
 def test_fragments_of_one_tile(many, monkeypatch):
     monkeypatch.setattr(periodic_runs, "MANY", many)  # 0: the linear Z-algorithm at every boundary
     rng = random.Random(5)
-    for _ in range(400):
+    for _ in range(250):
         x = random_sequence(rng)
         found = {}
         for q, s, e in periodic_runs.fragments(np.array(x, dtype=np.int64), 1, len(x) // 2):
@@ -53,7 +53,7 @@ def test_tiles_are_stitched(spark):
     """With tiles of 64 words nearly every document is cut; whole runs come out as from one piece."""
     rng = random.Random(9)
     rows = []
-    for i in range(60):
+    for i in range(24):
         x = [w for _ in range(rng.randint(1, 6)) for w in random_sequence(rng)]
         if i % 6 == 0:  # a long period over most of a long document
             x = [rng.randrange(50) for _ in range(330)] * 4 + x
