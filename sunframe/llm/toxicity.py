@@ -55,7 +55,7 @@ ABSTAIN, CLEAN, BAD = 0, 1, 2
 ANCHOR = 0.2
 ROUNDS = 60
 #: Ridge penalty of the classifier.
-REGULAR = 0.001
+REGULAR = 0.0003
 
 
 def word_counts(text: str | None) -> Counter:
