@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..fixtures import view
@@ -108,65 +109,103 @@ def _write_processed(spark, sf):
     df = view(spark, sf, "readings")
     for run in _RUNS:
         processed.write_processed(df, base, "meter", run)
-    return spark.read.option("basePath", base).parquet(base).groupBy("source", "run_ts").agg(F.count("*").alias("rows"))
+    return processed.processed_tables(spark, base).groupBy("source", "run_ts").agg(F.count("*").alias("rows"))
 
 
-def _text_files(spark, sf, sep: str, label: str, preamble: list[str] = ()):
-    """Readings as delimited text, one folder of files, with a header in every file."""
+_LEAD = ["Source,Location ID,City", "NSRDB,1234,-"]
+_HEAD = ["Year", "Month", "Day", "Hour", "Minute", "GHI", "DNI", "DHI", "Temperature", "Site"]
+#: What is wrong with a line: it equals a metadata line, has too many fields, or no time.
+_FAULT = """CASE WHEN reading_id % 60 = 11 THEN 'meta' WHEN reading_id % 50 = 7 THEN 'long'
+    WHEN reading_id % 40 = 3 THEN 'blank' ELSE 'none' END"""
+_SITE = "CASE WHEN device_id % 3 = 0 THEN 'Zürich Süd' ELSE 'Basel' END"
+
+
+def _text_files(spark, sf, label: str, sep=lambda part: ",", lead: list[str] = (), files: int = 32, dirty: bool = True):
+    """Irradiance as delimited text: a folder ``part=n`` with one file for each remainder of the device, half of them Latin-1."""
     base = scratch_dir(spark, label)
-    df = view(spark, sf, "irradiance")
-    parts = [F.date_format("event_ts", f) for f in ("yyyy", "MM", "dd", "HH", "mm")]
-    values = [F.col(c).cast("string") for c in ("ghi", "dni", "dhi", "temperature")]
-    head = sep.join(["Year", "Month", "Day", "Hour", "Minute", "GHI", "DNI", "DHI", "Temperature"])
-    line = F.concat_ws(sep, *parts, *values)
-    lead = "\n".join([*preamble, head])
-    device = F.pmod(F.col("device_id"), F.lit(8))
-    numbered = df.select(device.alias("part"), line.alias("value"))
-    lines = numbered.repartition("part").mapInPandas(_headed(lead), "value string")
-    lines.write.text(base)
+    df = view(spark, sf, "irradiance").withColumns({
+        "part": F.pmod(F.col("device_id"), F.lit(files)).cast("int"), "fault": F.expr(_FAULT if dirty else "'none'"),
+        "site": F.expr(_SITE)})
+    times = [F.when(F.col("fault") == "blank", "").otherwise(F.date_format("event_ts", f)) for f in ("yyyy", "MM", "dd", "HH", "mm")]
+    fields = F.array(*times, *[F.col(c).cast("string") for c in ("ghi", "dni", "dhi", "temperature", "site")])
+    fields = F.when(F.col("fault") == "long", F.concat(fields, F.array(F.lit("1"), F.lit("2")))).otherwise(fields)
+    line = F.when(F.col("fault") == "meta", F.lit(_LEAD[1]))
+    for mark in sorted({sep(i) for i in range(files)}):
+        line = line.when(F.col("part").isin([i for i in range(files) if sep(i) == mark]), F.array_join(fields, mark))
+    lines = (df.select("part", line.alias("value")).repartition(files, "part").sortWithinPartitions("part")
+             .mapInPandas(_headed({i: [*lead, sep(i).join(_HEAD)] for i in range(files)}), "part int, value string"))
+    for encoding, odd in (("UTF-8", 0), ("ISO-8859-1", 1)):
+        # one column, written as it is
+        (lines.where(F.col("part") % 2 == odd).write.mode("append").partitionBy("part").option("sep", "\x01").option("quote", "")
+         .option("escape", "\x02").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+         .option("encoding", encoding).csv(base))
     return base
 
 
-def _headed(lead: str):
+def _headed(leads: dict[int, list[str]]):
+    """Puts the head of its file before the first line of each part."""
     def add(batches):
-        first = True
+        last = None
         for pdf in batches:
-            if len(pdf):
-                text = pdf[["value"]].copy()
-                if first:
-                    text.iloc[0, 0] = f"{lead}\n{text.iloc[0, 0]}"
-                    first = False
-                yield text
+            for part, own in pdf.groupby("part", sort=True):
+                if part != last:
+                    yield pd.DataFrame({"part": part, "value": leads[part]})
+                    last = part
+                yield own
 
     return add
 
 
-_READ_BACK = f"""SELECT {big('count(*)', 'rows')}, {r('sum(ghi)', 'ghi_sum')}, {r('avg(temperature)', 'mean_temperature')} FROM irradiance"""
+def _read_back(df):
+    """What a reader made of the dirty files."""
+    return df.agg(F.count("*").alias("rows"), F.sum(F.col("GHI").cast("double")).alias("ghi_sum"),
+                  F.avg(F.col("Temperature").cast("double")).alias("mean_temperature"),
+                  F.count_if(F.col("Minute").try_cast("int").isNull()).alias("without_time"),
+                  F.count_if(F.col("Site") == "Zürich Süd").alias("umlauts"))
+
+
+_READ_BACK = f"""SELECT {big("count(*) FILTER (fault <> 'long')", 'rows')}, {r("sum(ghi) FILTER (fault IN ('none', 'blank'))", 'ghi_sum')},
+    {r("avg(temperature) FILTER (fault IN ('none', 'blank'))", 'mean_temperature')},
+    {big("count(*) FILTER (fault IN ('meta', 'blank'))", 'without_time')},
+    {big("count(*) FILTER (fault IN ('none', 'blank') AND device_id % 3 = 0)", 'umlauts')}
+    FROM (SELECT *, {_FAULT} AS fault FROM irradiance)"""
 
 
 @query("read_csv_tolerant", _READ_BACK, "irradiance")
 def _read_csv(spark, sf):
-    df = csvfiles.read_csv_tolerant(spark, _text_files(spark, sf, ";", "csv"))
-    return df.agg(F.count("*").alias("rows"), F.sum(F.col("GHI").cast("double")).alias("ghi_sum"),
-                  F.avg(F.col("Temperature").cast("double")).alias("mean_temperature"))
+    path = _text_files(spark, sf, "csv", lambda part: ",;\t|"[part % 4])
+    return _read_back(csvfiles.read_csv_tolerant(spark, path))
 
 
 @query("read_nsrdb", _READ_BACK, "irradiance")
 def _read_nsrdb(spark, sf):
-    path = _text_files(spark, sf, ",", "nsrdb", ["Source,Location ID,City", "NSRDB,1234,-"])
-    df = csvfiles.read_nsrdb(spark, path)
-    return df.agg(F.count("*").alias("rows"), F.sum("GHI").alias("ghi_sum"), F.avg("Temperature").alias("mean_temperature"))
+    return _read_back(csvfiles.read_nsrdb(spark, _text_files(spark, sf, "nsrdb", lead=_LEAD)))
 
 
-@query("detect_delimiter", "SELECT '|' AS delimiter, true AS every_file FROM (SELECT count(*) FROM irradiance)", "irradiance")
+@query("detect_delimiter", f"""SELECT substring(',;|', 1 + device_id % 32 % 3, 1) AS delimiter, {big('count(DISTINCT device_id % 32)', 'files')}
+    FROM irradiance GROUP BY 1""", "irradiance")
 def _detect_delimiter(spark, sf):
-    found = csvfiles.detect_delimiter(spark, _text_files(spark, sf, "|", "delimiter"))
-    return found.groupBy("delimiter").agg(F.count("*").alias("n")).select("delimiter", (F.col("n") > 0).alias("every_file"))
+    path = _text_files(spark, sf, "delimiter", lambda part: ",;|"[part % 3], dirty=False)
+    return csvfiles.detect_delimiter(spark, path).groupBy("delimiter").agg(F.count("*").alias("files"))
 
 
-@query("batch_preprocess", f"""SELECT source, status, {big('count(*)', 'rows_input')}, {big('count(*)', 'rows_output')}, {big('0', 'rows_removed')}
-    FROM (SELECT 'nsrdb' AS source, 'success' AS status FROM irradiance) GROUP BY source, status""", "irradiance")
+@query("batch_preprocess", f"""SELECT 'nsrdb' AS source, 'success' AS status, {big('count(*)', 'rows_input')}, {big('count(*)', 'rows_output')},
+    {big('0', 'rows_removed')}, CAST(NULL AS VARCHAR) AS error FROM irradiance GROUP BY device_id % 8
+    UNION ALL SELECT source, 'error', 0, 0, 0, error FROM
+    (VALUES ('nsrdb', 'no data rows'), ('unknown', 'no readable line')) v(source, error) WHERE EXISTS (FROM irradiance)""", "irradiance")
 def _batch_preprocess(spark, sf):
-    path = _text_files(spark, sf, ",", "raw", ["Source,Location ID,City", "NSRDB,1234,-"])
-    summary = processed.batch_preprocess(spark, path, scratch_dir(spark, "out"), "20240101_000000")
-    return summary.groupBy("source", "status").agg(*[F.sum(c).alias(c) for c in ("rows_input", "rows_output", "rows_removed")])
+    path = _text_files(spark, sf, "raw", lead=_LEAD, files=8, dirty=False)
+    head = spark.createDataFrame([("\n".join([*_LEAD, ",".join(_HEAD)]),)], "value string").coalesce(1)
+    for name in ("head", "broken"):  # a file of nothing but its head, and one that says it is compressed but is not
+        head.write.text(f"{path}/part={name}")
+    _rename_only_file(spark, f"{path}/part=broken", "year.csv.gz")
+    summary = processed.batch_preprocess(spark, f"{path}/*", scratch_dir(spark, "out"), "20240101_000000")
+    return summary.drop("file")
+
+
+def _rename_only_file(spark, folder: str, name: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(where):
+        if status.getPath().getName().startswith("part-"):
+            fs.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(where, name))
