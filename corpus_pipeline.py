@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sunframe.llm import curriculum, jaccard, langid, pii, retrieval_packing
+from sunframe.llm import curriculum, langid, pii, retrieval_packing, simhash
 from sunframe.llm.tools import Scratch
 
 
@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five-word shingles, Jaccard similarity of at least 0.8."""
-    return jaccard.keep_representatives(docs)
+    """One document of each near-duplicate group stays: three-word shingles, fingerprints at three or fewer differing bits."""
+    return simhash.keep_representatives(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ weight until none is above. A source's last document is cut where the target end
 Only DataFrame expressions run. Sizes per source are combined before the shuffle; running sums use slices of about
 sqrt(n) rows, so a source with a third of all rows makes no long window. Rows may carry texts or not.
 
-Defined cases: NULL text has size 0; size-0 documents are never taken; a NULL source is a source; NULL or repeated
+Defined cases: NULL text has size 0; size-0 documents are never taken; a source of nothing else has target 0; a NULL source is a source; NULL or repeated
 ids are rows of their own; an empty table gives an empty mix; columns that clash with results are replaced.
 """
 
@@ -89,8 +89,9 @@ def assign_positions(sized: DataFrame, scratch: Scratch, schedules=SCHEDULES, **
     for k in range(passes):
         start = F.col("__at") + F.lit(k) * F.col("source_size")
         taken = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), end - start))
-        copies.append(F.struct(taken.alias("taken"),
-                               demand_time(start / F.col("target"), F.col("place"), schedules).alias("position")))
+        # a source without words has target 0 and gives no copy
+        position = demand_time(F.try_divide(start, F.col("target")), F.col("place"), schedules)
+        copies.append(F.struct(taken.alias("taken"), position.alias("position")))
     return (wide.withColumn("copies", F.filter(F.array(*copies), lambda c: c.taken > 0))
             .withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda s, c: s + c.taken))
             .drop("__at", "place"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tools import Scratch, connected_components, key_groups, local_roots
+from .tools import Scratch, connected_components, key_groups, local_roots, with_fields
 
 SHINGLE = 3
 SEED = 42
@@ -53,6 +53,19 @@ def text_fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def with_fingerprints(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` and ``__fp``: the bits of the fingerprint as a signed long."""
+    place = docs.columns.index("text")
+
+    def scan(batches):
+        for batch in batches:
+            values = [text_fingerprint((t or "").encode()) for t in batch.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.array(values, dtype=np.uint64).view(np.int64))], names=[*batch.schema.names, "__fp"])
+
+    return docs.mapInArrow(scan, with_fields(docs, __fp="long"))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp)`` of every row; fp is the fingerprint's bits as a signed long."""
     def scan(batches):
@@ -142,14 +155,18 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, slice_rows: int
             .mapInArrow(link, "a long, b long").distinct())
 
 
+def _roots(distinct: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """``distinct`` (one row per ``fp``) with the ``root`` fingerprint of its component."""
+    roots = connected_components(fingerprint_links(distinct, radius), scratch)
+    return distinct.join(roots, distinct.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` of every row."""
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.save(fingerprints(docs), "prints")
     distinct = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    roots = connected_components(fingerprint_links(distinct, radius), scratch)
-    rooted = (distinct.join(roots, distinct.fp == roots.node, "left")
-              .select("fp", "least_id", F.coalesce("root", "fp").alias("root")))
+    rooted = _roots(distinct, radius, scratch)
     groups = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(groups, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(
@@ -157,11 +174,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents whose id names their component, one row each, with all their columns.
+    """One row of each component with all its columns: that of the smallest id (rows without one come last).
 
-    Rows that share an id count as one document. Rows without an id stay, once per exact text.
+    Components are of texts, not ids: rows that share an id but not a component each count. Of rows with the same id and
+    fingerprint the one with the least hash of its columns stays, so reruns agree.
     """
-    kept = near_duplicates(docs, radius).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null").dropDuplicates(["text"])
-    return named.select(docs.columns).union(nameless.select(docs.columns))
+    scratch = Scratch(docs.sparkSession, "representatives")
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.xxhash64(*[f"`{c}`" for c in docs.columns]).alias("h"))
+    prints = scratch.save(with_fingerprints(docs.select("*", row.alias("__row")).select(*docs.columns, "__row")), "prints")
+    distinct = scratch.save(prints.groupBy(F.col("__fp").alias("fp")).agg(F.min("__row").alias("least")), "distinct")
+    chosen = _roots(distinct, radius, scratch).groupBy("root").agg(F.min(F.struct("least", "fp")).alias("best"))
+    chosen = scratch.save(chosen.select(F.col("best.fp").alias("__of"), F.col("best.least").alias("__best")), "chosen")
+    kept = scratch.read("prints").join(chosen, (F.col("__fp") == F.col("__of")) & F.col("__row").eqNullSafe(F.col("__best")))
+    # equal rows remain together; each component has its own fingerprint here, and any of them is the same row
+    return kept.dropDuplicates(["__fp"]).select(*[f"`{c}`" for c in docs.columns])
