@@ -99,7 +99,8 @@ VIEWS: dict[str, str] = {
                CAST(100 + (s_suppkey * 7) % 200 AS DOUBLE) AS monthly_rent_per_kw,
                s_suppkey % 3 = 0 AS has_structural_certificate,
                CAST(30 + s_suppkey % 21 AS DOUBLE) / 10 AS host_rating,
-               s_suppkey % 2 = 0 AS is_near_industry
+               s_suppkey % 2 = 0 AS is_near_industry,
+               split(concat('front-', s_suppkey, ',roof-', s_suppkey), ',') AS property_images
         FROM supplier JOIN nation ON s_nationkey = n_nationkey
              JOIN region ON n_regionkey = r_regionkey""",
     "industries": """

@@ -55,6 +55,13 @@ def _flat(df):
     return df.select(*[c for c in df.columns if c != "financial_feasibility"], *terms)
 
 
+def _shown(expression: str, decimals: int | None = None) -> str:
+    """A number inside a text of the SQL twin."""
+    if decimals is not None:
+        expression = f"CAST(round({expression}, {decimals}) AS DECIMAL(20, {decimals}))"
+    return f"coalesce(CAST({expression} AS VARCHAR), 'unknown')"
+
+
 @query("radius_join", f"SELECT seller_id, buyer_id, {r('km', 'distance_km')} FROM pairs", "sellers buyers",
        f"{_VALUED}, {_PAIRS}")
 def _radius_join(spark, sf):
@@ -67,7 +74,9 @@ def _radius_join(spark, sf):
 @query("match_seller_to_buyers", f"""
     SELECT concat(seller_id, '_to_', buyer_id) AS match_id, seller_id, buyer_id, {r('score', 'match_score')},
         {r('km', 'distance_km')}, {_risk('b_rating', 'b_score')} AS transaction_risk, {_TERMS},
-        {r('v * 0.15::DOUBLE', 'profit_potential')}
+        {r('v * 0.15::DOUBLE', 'profit_potential')},
+        'Buyer needs ' || {_shown('demand_kw')} || 'kW, seller has ' || {_shown('capacity_kw')} || 'kW at ' || {_shown('km', 1)}
+        || 'km. Financial score: ' || {_shown('b_score', 0)} || '/100' AS compatibility_reason
     FROM (SELECT *, row_number() OVER (PARTITION BY seller_id ORDER BY score DESC, buyer_id) AS k FROM pairs)
     WHERE k <= 5""", "sellers buyers", f"{_VALUED}, {_PAIRS}")
 def _seller_to_buyers(spark, sf):
@@ -76,7 +85,9 @@ def _seller_to_buyers(spark, sf):
 
 @query("match_buyer_to_sellers", f"""
     SELECT concat(buyer_id, '_to_', seller_id) AS match_id, buyer_id, seller_id, {r('score', 'match_score')},
-        {r('km', 'distance_km')}, {_risk('s_rating', 's_score')} AS transaction_risk, {_TERMS}
+        {r('km', 'distance_km')}, {_risk('s_rating', 's_score')} AS transaction_risk, {_TERMS},
+        'Seller has ' || {_shown('capacity_kw')} || 'kW (buyer needs ' || {_shown('demand_kw')} || 'kW). Financial match: '
+        || {_shown('b_score', 0)} || '/100. Seller rating: ' || s_rating AS compatibility_reason
     FROM (SELECT *, row_number() OVER (PARTITION BY buyer_id ORDER BY score DESC, seller_id) AS k FROM pairs
           WHERE capacity_kw BETWEEN demand_kw * 0.8::DOUBLE AND demand_kw * 1.3::DOUBLE) WHERE k <= 10""",
        "sellers buyers", f"{_VALUED}, {_PAIRS}")
@@ -101,7 +112,9 @@ _INVESTOR_SCORE = f"""greatest(0.0, least(100.0, {_DISTANCE[50]}
         {r('roi', 'profit_potential')}, {r('v', 'investment_required')}, {r('balance', 'investor_available_capital')},
         balance >= v AS can_invest, {r('coalesce(capacity_kw, 0) * 9125', 'estimated_annual_revenue')},
         {r('CASE WHEN coalesce(capacity_kw, 0) > 0 THEN v / (capacity_kw * 9125 + 1) ELSE 0 END', 'estimated_payback_years')},
-        {r('CASE WHEN v > 0 THEN coalesce(capacity_kw, 0) * 9125 / v * 100 ELSE 0 END', 'roi_annual_percentage')}
+        {r('CASE WHEN v > 0 THEN coalesce(capacity_kw, 0) * 9125 / v * 100 ELSE 0 END', 'roi_annual_percentage')},
+        'Seller has ' || {_shown('capacity_kw')} || 'kW system, ' || {_shown('system_efficiency', 0)} || '% efficient, '
+        || {_shown('system_age_years', 1)} || ' years old. ROI potential: ' || {_shown('roi', 1)} || '%' AS compatibility_reason
     FROM (SELECT *, row_number() OVER (PARTITION BY investor_id ORDER BY roi DESC, seller_id) AS k FROM (
         SELECT *, {_ROI} AS roi FROM (
             SELECT s.*, i.investor_id, i.available_balance AS balance, i.max_investment, i.willing_to_travel_km AS reach,
@@ -256,7 +269,7 @@ def _affordable(spark, sf):
 
 _NEAR = f"""near AS (SELECT *, least(available_capacity_kw * 4500 / (daily_energy_demand_kwh * 30), 1.0) * 0.3::DOUBLE
         + greatest(0.0, 1 - km / 50) * 0.4::DOUBLE + CASE WHEN max_price_per_kwh >= 8 THEN 0.3 ELSE 0.0 END AS iscore
-    FROM (SELECT h.*, i.id AS industry_id, i.daily_energy_demand_kwh, i.max_price_per_kwh, {_km('h', 'i')} AS km
+    FROM (SELECT h.*, i.id AS industry_id, i.company_name, i.daily_energy_demand_kwh, i.max_price_per_kwh, {_km('h', 'i')} AS km
           FROM host_spaces h, industries i) WHERE km <= 50)"""
 _BEST = """best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY iscore DESC, industry_id) AS k
     FROM near) WHERE k = 1)"""
@@ -306,7 +319,9 @@ def _opportunity_scores(spark, sf):
 
 
 _KW = "least(available_capacity_kw, budget / 550000)"
-_MONEY = f"""buyer_id, id AS host_id, concat(city, ', ', state) AS location, industry_id,
+_MONEY = f"""buyer_id, id AS host_id, concat(city, ', ', state) AS location, industry_id, company_name AS industry_name,
+    host_name, {r('host_rating', 'host_rating')}, {r('latitude', 'latitude')}, {r('longitude', 'longitude')},
+    array_to_string(property_images, ';') AS property_images,
     {r('max_price_per_kwh', 'industry_price_per_kwh')}, {r('km', 'distance_km')}, {r(_KW, 'capacity_kw')},
     {r(f'{_KW} * 500000', 'panel_price')}, {r(f'{_KW} * 50000', 'installation_cost')},
     {r(f'{_KW} * 550000', 'total_investment')}, {r(f'{_KW} * 150', 'monthly_production_kwh')},
@@ -320,8 +335,12 @@ _MONEY = f"""buyer_id, id AS host_id, concat(city, ', ', state) AS location, ind
     WHERE place_no <= 5""",
        "host_spaces industries space_buyers", f"{_HOSTS}, {_OPPORTUNITY}")
 def _find_opportunities(spark, sf):
-    return investing.find_opportunities(
-        view(spark, sf, "space_buyers"), view(spark, sf, "host_spaces"), view(spark, sf, "industries"), 5)
+    return _images(investing.find_opportunities(
+        view(spark, sf, "space_buyers"), view(spark, sf, "host_spaces"), view(spark, sf, "industries"), 5))
+
+
+def _images(df):
+    return df.withColumn("property_images", F.array_join("property_images", ";"))
 
 
 @query("score_opportunity", f"SELECT {_MONEY} FROM opportunity WHERE id = buyer_id % (SELECT count(*) FROM host_spaces)",
@@ -330,7 +349,7 @@ def _score_opportunity(spark, sf):
     buyers = view(spark, sf, "space_buyers")
     hosts = view(spark, sf, "host_spaces")
     pairs = buyers.select("buyer_id", (F.col("buyer_id") % hosts.count()).alias("host_id"))
-    return investing.score_opportunity(pairs, buyers, hosts, view(spark, sf, "industries"))
+    return _images(investing.score_opportunity(pairs, buyers, hosts, view(spark, sf, "industries")))
 
 
 @query("opportunity_finance", f"""SELECT host_id, {r('profit', 'profit_per_kw')}, {r('roi', 'roi_percentage')},

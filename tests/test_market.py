@@ -79,6 +79,59 @@ def test_leading_offers_hold_every_far_winner(spark):
     assert len(kept) < 60
 
 
+def random_offers(rng, n, correlated):
+    """Few different values, so that equal prices, ratings and stocks meet; or stock that grows with the price."""
+    rows = []
+    for i in range(n):
+        price = rng.choice([5.0, rng.randint(40, 90) / 10])
+        stock = price * 3 if correlated else float(rng.randint(5, 20))
+        rows.append((i, 12.9 + rng.uniform(-1, 1), 77.5 + rng.uniform(-1, 1), price, stock, rng.randint(30, 50) / 10, rng.random() < .5))
+    return rows
+
+
+@pytest.mark.parametrize("correlated", [False, True])
+@pytest.mark.parametrize("direct", [False, True])
+def test_price_match_equals_brute_force(spark, correlated, direct):
+    rng = random.Random(3 + correlated)
+    offers = random_offers(rng, 150, correlated)
+    asks = [(i, 12.9 + rng.uniform(-1, 1), 77.5 + rng.uniform(-1, 1), rng.choice([3.0, 5.0, 7.3, 12.0]), float(rng.randint(2, 30)),
+             rng.random() < .5) for i in range(40)]
+    hosts = spark.createDataFrame(offers, "host_id long, latitude double, longitude double, price_per_kwh double, "
+                                          "available_kwh double, rating double, renewable_cert boolean")
+    buyers = spark.createDataFrame(asks, "buyer_id long, latitude double, longitude double, max_price double, "
+                                         "required_kwh double, renewable_pref boolean")
+    got = {r.buyer_id: r for r in investing.price_match(buyers, hosts, direct).collect()}
+    for b, lat, lon, top, need, pref in asks:
+        best = None
+        for h, hlat, hlon, price, stock, rating, cert in offers:
+            if price <= top:
+                far = ((lat - hlat) ** 2 + (lon - hlon) ** 2) ** .5 * 111
+                score = ((100 - price / top * 50) * .3 + rating * 5 + min(100, stock / need * 100) * .1
+                         + (10 if cert and pref else 0) + max(0, 100 - far / 50 * 100) * .25)
+                if best is None or score > best[0] + 1e-9:
+                    best = (score, h)
+        assert got[b].matched == (best is not None)
+        if best:
+            assert got[b].best_host_id == best[1] and abs(got[b].best_score - best[0]) < 1e-9
+        assert got[b].alternatives == sum(o[3] <= top for o in offers)
+
+
+def test_contenders_of_one_level_are_few(spark):
+    """20,000 hosts with the same points at different costs, and as many at one cost."""
+    n, k = 20_000, 5
+    df = spark.range(n).select(
+        F.col("id").alias("h_id"), F.lit("c").alias("h_city"), F.lit("s").alias("h_state"), F.lit(1.0).alias("roi_score"),
+        F.lit(1.0).alias("risk_base"), F.lit(1.0).alias("demand_score"), F.lit(1.0).alias("location_score"))
+    spread = df.withColumn("cost", F.pmod(F.xxhash64("h_id"), F.lit(1 << 40)).cast("double"))
+    costs = {r.h_id: r.cost for r in spread.select("h_id", "cost").collect()}
+    got = investing.contenders(spread, k).where("scope = 'any' and tolerance = 'low'").collect()
+    assert len(got) < 1_000 and investing.contenders(df.withColumn("cost", F.lit(7.0)), k).count() == 9 * k
+    kept = sorted((r.cost, r.h_id) for r in got)
+    for budget in sorted(costs.values())[::1999]:
+        want = sorted(h for h, c in costs.items() if c <= budget)[:k]
+        assert sorted(h for c, h in kept if c <= budget)[:k] == want
+
+
 @pytest.mark.parametrize("rim_rows", [500, 6])
 def test_top_in_disks_equals_brute_force(spark, rim_rows):
     a, rows_a = scatter(spark, 30, 5, "a")
