@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import solar
+from ..session import materialize
 from . import models
 from .features import sequences
 from .series import SeriesOrder
@@ -96,14 +97,15 @@ def weather_adjust(forecast: DataFrame, weather: DataFrame, on: list[str]) -> Da
     return both.withColumn("adjusted", adjusted)
 
 
-def horizon_rows(df: DataFrame, order: SeriesOrder, value: str, lookback: int, horizon: int) -> DataFrame:
-    """One training row per (position, step ahead) with the recent values as columns."""
+def horizon_rows(df: DataFrame, order: SeriesOrder, value: str, lookback: int, horizon: int,
+                 hours_per_step: int = 1) -> DataFrame:
+    """One training row per (position, step ahead) with the recent values as columns; ``back_0`` is the last known one."""
     samples = sequences(df, order, [value], value, lookback, horizon)
     wide = samples.select(
         *order.keys, F.col(order.ts).alias("origin_ts"),
         *[F.col("window")[lookback - 1 - i][0].alias(f"back_{i}") for i in range(lookback)],
         F.posexplode("label").alias("_pos", "label"))
-    when = F.col("origin_ts").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("_pos") + 1)
+    when = F.col("origin_ts").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("_pos") + 1) * hours_per_step)
     return wide.withColumns({
         "step": F.col("_pos") + 1,
         "target_hour_sin": F.sin(F.hour(when) * (2 * math.pi / 24)),
@@ -115,16 +117,19 @@ def horizon_features(lookback: int) -> list[str]:
     return [f"back_{i}" for i in range(lookback)] + ["step", "target_hour_sin", "target_hour_cos"]
 
 
-def horizon_forecast(df: DataFrame, order: SeriesOrder, value: str, lookback: int = 24, horizon: int = 48,
-                     trees: int = 100) -> DataFrame:
-    """Direct multi-step forecast: one boosted model over all (position, step) rows, scored on itself."""
-    rows = horizon_rows(df, order, value, lookback, horizon)
+def horizon_forecast(df: DataFrame, order: SeriesOrder, value: str, lookback: int = 168, horizon: int = 48,
+                     trees: int = 100, hours_per_step: int = 1, test_share: float = 0.2) -> DataFrame:
+    """Direct multi-step forecast: one boosted model over all (position, step) rows, scored on the later time range.
+
+    Positions to learn from end a horizon before that range begins. ``last_value`` is the forecast that nothing changes.
+    """
+    rows = horizon_rows(df, order, value, lookback, horizon, hours_per_step)
     names = horizon_features(lookback)
-    parts = models.split_train_test(rows, [*order.keys, "origin_ts"])
+    parts = materialize(models.split_by_time(rows, "origin_ts", horizon * hours_per_step, test_share), "horizon-rows")
     model = models.gbt(names, "label", trees, 0.1, 6).fit(
-        parts.where(~F.col("is_test")).withColumns({c: F.col(c).cast("double") for c in names}))
-    return models.predict(model, parts.where("is_test")).select(
-        *order.keys, "origin_ts", "step", "label", "prediction")
+        parts.where("part = 'train'").withColumns({c: F.col(c).cast("double") for c in names}))
+    return models.predict(model, parts.where("part = 'test'")).select(
+        *order.keys, "origin_ts", "step", "label", "prediction", F.col("back_0").alias("last_value"))
 
 
 def hours_ahead(df: DataFrame, start: Column, hours: int, name: str = "hour_ts") -> DataFrame:

@@ -113,10 +113,24 @@ def importances(model: PipelineModel, df: DataFrame, top: int) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
+def _key_hash(key: list[str], seed: int) -> Column:
+    """Eight hex digits that follow from the key as text; SQL with md5 finds the same."""
+    return F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.lit(str(seed)))), 1, 8)
+
+
 def split_train_test(df: DataFrame, key: list[str], test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds ``is_test``, decided by a hash of the key: the same row always falls the same way."""
-    spot = F.pmod(F.xxhash64(*[F.col(c) for c in key], F.lit(seed)), F.lit(1_000_000))
-    return df.withColumn("is_test", spot < int(test_share * 1_000_000))
+    return df.withColumn("is_test", _key_hash(key, seed) < F.lit(f"{int(test_share * 2 ** 32):08x}"))
+
+
+def split_by_time(df: DataFrame, ts: str, gap_hours: int, test_share: float = 0.2) -> DataFrame:
+    """Adds ``part``: ``train`` for rows whose next ``gap_hours`` end before the last share of the time range, ``test``
+    for rows in that share, ``gap`` between them, so that no row to learn from looks into the tested range."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    first, last = df.agg(F.min(at), F.max(at)).first()
+    cut = None if first is None else int(first + (last - first) * (1 - test_share))
+    ahead = at + gap_hours * 3_600_000_000
+    return df.withColumn("part", F.when(at >= F.lit(cut), "test").when(ahead < F.lit(cut), "train").otherwise("gap"))
 
 
 def ensemble(first: DataFrame, second: DataFrame, key: list[str], first_weight: float = 0.6) -> DataFrame:
@@ -130,7 +144,7 @@ def ensemble(first: DataFrame, second: DataFrame, key: list[str], first_weight:
 
 def cross_validate(df: DataFrame, estimator: Pipeline, key: list[str], label: str, folds: int = 5) -> DataFrame:
     """Mean R2 over hashed folds."""
-    spot = F.pmod(F.xxhash64(*[F.col(c) for c in key]), F.lit(folds)).cast("int")
+    spot = F.pmod(F.conv(_key_hash(key, 0), 16, 10).cast("long"), F.lit(folds)).cast("int")
     judge = RegressionEvaluator(labelCol=label, metricName="r2")
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=ParamGridBuilder().build(), evaluator=judge,
                         numFolds=folds, foldCol="_fold", parallelism=2)
@@ -172,8 +186,18 @@ def holdout_metrics(scored: DataFrame, label: str, name: str) -> DataFrame:
         scored.withColumn("model_name", F.lit(name)), ["model_name"], label, "prediction")
 
 
-def train_all(tables: dict[str, DataFrame], key: list[str], trees: int = 200) -> DataFrame:
-    """Route each table to the trainers its columns allow; one metrics row per trained model."""
+def _long(metrics: DataFrame) -> DataFrame:
+    """(model_name, metric, value) of one-row-per-model metrics."""
+    names = [c for c in metrics.columns if c != "model_name"]
+    pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])
+    return metrics.select("model_name", F.explode(pairs).alias("_m")).select("model_name", "_m.metric", "_m.value")
+
+
+def train_all(tables: dict[str, DataFrame], key: list[str], trees: int | None = None) -> DataFrame:
+    """Route each table to the trainers its columns allow; (model_name, metric, value) on rows not trained on.
+
+    ``trees`` replaces every trainer's own number.
+    """
     from functools import reduce
 
     results = []
@@ -181,10 +205,16 @@ def train_all(tables: dict[str, DataFrame], key: list[str], trees: int = 200) ->
         columns = set(df.columns)
         if columns & {"GHI", "DNI"}:
             label = "GHI" if "GHI" in columns else df.columns[0]
-            results.append(_trained(df, available(df, FEATURES["solar"]), label, key, f"solar_gbt:{name}", trees))
+            features = [c for c in FEATURES["solar"] if c in columns and c != label]
+            if features:
+                results.append(_trained(df, features, label, key, f"solar_gbt:{name}", trees or 200))
         if "active_power_kw" in columns:
             results.append(_trained(df, available(df, FEATURES["demand"]), "active_power_kw", key,
-                                    f"demand_gbt:{name}", trees))
+                                    f"demand_gbt:{name}", trees or 200))
+        if "risk_label" in columns and columns & set(FEATURES["risk"]):
+            results.append(train_risk(df, key, f"risk_forest:{name}", trees or 100))
+        if {"voltage_v", "power_factor"} <= columns:
+            results.append(train_anomaly(df, key[0], f"isolation_forest:{name}", trees or 100))
     if not results:
         raise ValueError("no table has the columns of a known model")
     return reduce(DataFrame.unionByName, results)
@@ -194,7 +224,27 @@ def _trained(df: DataFrame, features: list[str], label: str, key: list[str], nam
     target = df.withColumn("_label", F.col(label).cast("double"))
     parts = split_train_test(_doubles(target, features), key)
     model = gbt(features, "_label", trees, 0.1, 6).fit(parts.where(~F.col("is_test")))
-    return holdout_metrics(predict(model, parts.where("is_test"), low=None), "_label", name)
+    return _long(holdout_metrics(predict(model, parts.where("is_test"), low=None), "_label", name))
+
+
+def train_risk(df: DataFrame, key: list[str], name: str = "risk_forest", trees: int = 100) -> DataFrame:
+    """Accuracy and area under the ROC curve of a forest for ``risk_label`` (0 or 1) on rows not trained on."""
+    features = available(df, FEATURES["risk"])
+    parts = split_train_test(_doubles(df, [*features, "risk_label"]), key).where(F.col("risk_label").isNotNull())
+    model = Pipeline(stages=[*_prepared(features), RandomForestClassifier(
+        labelCol="risk_label", numTrees=trees, maxDepth=8, seed=42)]).fit(parts.where(~F.col("is_test")))
+    scored = predict_class(model, parts.where("is_test"))
+    right = scored.agg(F.avg((F.col("predicted_class") == F.col("risk_label")).cast("double")).alias("accuracy"))
+    area = evaluation.auc_roc(scored, "risk_label", "probability_1").scalar()
+    return _long(right.withColumns({"auc_roc": area, "model_name": F.lit(name)}))
+
+
+def train_anomaly(df: DataFrame, row_id: str, name: str = "isolation_forest", trees: int = 100,
+                  contamination: float = 0.05) -> DataFrame:
+    """How many rows an isolation forest flags at this contamination."""
+    flagged = anomaly_report(df, row_id, available(df, FEATURES["anomaly"]), contamination, trees)
+    counts = flagged.agg(F.sum("is_anomaly").alias("anomalies_detected"), F.lit(contamination).alias("contamination"))
+    return _long(counts.withColumn("model_name", F.lit(name)))
 
 
 def anomaly_report(df: DataFrame, row_id: str, features: list[str], contamination: float = 0.05,

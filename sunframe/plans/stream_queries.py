@@ -128,14 +128,22 @@ def _enrich(spark, sf):
     return streams.run_to_end(streams.enrich(stream, registry, "device_id"), "enrich")
 
 
-@query("stream_score")
+@query("stream_score", f"""SELECT {big('count(*)', 'rows')}, {big('sum(reading_id)', 'ids')}, true AS as_in_batch, true AS within_bounds
+    FROM readings WHERE substr(md5(concat(reading_id, '|42')), 1, 8) < '33333333'""", "readings")
 def _score(spark, sf):
+    """Readings that the model has not seen, scored as they arrive and all at once."""
     inputs = ["temperature", "humidity", "cloud_cover"]
-    model = models.demand_gbt(view(spark, sf, "readings"), inputs, "power_kw", 2)
+    table = models.split_train_test(view(spark, sf, "readings"), ["reading_id"])
     path = scratch_dir(spark, "stream-model")
-    models.save_model(model, path)
-    stream = reading_stream(spark, sf).select("reading_id", *inputs)
-    return streams.run_to_end(streams.score(stream, models.load_model(path), ["reading_id"]), "score")
+    models.save_model(models.demand_gbt(table.where(~F.col("is_test")), inputs, "power_kw", 2), path)
+    model = models.load_model(path)
+    stream = models.split_train_test(reading_stream(spark, sf), ["reading_id"]).where("is_test").select("reading_id", *inputs)
+    scored = streams.run_to_end(streams.score(stream, model, ["reading_id"]), "score")
+    batch = models.predict(model, table.where("is_test").select("reading_id", *inputs)).select(
+        "reading_id", F.col("prediction").alias("batch"))
+    return scored.join(batch, "reading_id", "full").agg(
+        F.count("*").alias("rows"), F.sum("reading_id").alias("ids"), F.bool_and(F.col("prediction").eqNullSafe(F.col("batch"))).alias("as_in_batch"),
+        F.bool_and(F.col("prediction") >= 0).alias("within_bounds"))
 
 
 @query("stream_ewma", f"""SELECT device_id, hour_ts, {r('mean_kw', 'mean_kw')},

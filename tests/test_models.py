@@ -91,7 +91,9 @@ def test_time_folds_follow_time(spark, sf):
 def test_train_all_and_saved_models(spark, sf, tmp_path):
     df = view(spark, sf, "irradiance").withColumnsRenamed({"ghi": "GHI", "dni": "DNI", "temperature": "Temperature"})
     got = models.train_all({"site": df}, ["reading_id"], 2).collect()
-    assert [r.model_name for r in got] == ["solar_gbt:site"]
+    assert {r.model_name for r in got} == {"solar_gbt:site"} and {r.metric for r in got} == {"mae", "rmse", "mape", "r2"}
+    r2 = next(r.value for r in got if r.metric == "r2")
+    assert r2 < 0.5  # the label itself is not among the features
     model = models.solar_gbt(df, ["GHI", "DNI"], "Temperature", 2)
     models.save_model(model, f"{tmp_path}/m")
     a, b = (models.predict(m, df).agg(F.sum("prediction")).first()[0] for m in (model, models.load_model(f"{tmp_path}/m")))
@@ -103,3 +105,27 @@ def test_horizon_rows(spark):
         hours=F.col("id").cast("int"))).alias("t"), F.col("id").cast("double").alias("x"))
     rows = forecasting.horizon_rows(df, SeriesOrder(("k",), "t", long=False), "x", 3, 2)
     assert rows.count() == 16 and rows.where("label - back_0 <> step").count() == 0
+
+
+def test_risk_and_anomaly_trainers(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(v), float(rng.normal()), int(v + rng.normal() * 0.1 > 0.5), float(rng.normal(230, 2)), 0.9)
+            for i, v in enumerate(rng.random(2000))]
+    df = spark.createDataFrame(rows, "id long, volatility double, price_ratio double, risk_label int, voltage_v double, power_factor double")
+    got = {(r.model_name, r.metric): r.value for r in models.train_all({"t": df}, ["id"], 10).collect()}
+    assert got["risk_forest:t", "accuracy"] > 0.85 and got["risk_forest:t", "auc_roc"] > 0.95
+    assert 0 < got["isolation_forest:t", "anomalies_detected"] <= 100 and got["isolation_forest:t", "contamination"] == 0.05
+
+
+def test_time_split_leaves_a_gap(spark):
+    df = spark.range(100).select((F.lit("2024-03-01").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("t"), "id")
+    parts = {p: sorted(r.id for r in models.split_by_time(df, "t", 10).where(F.col("part") == p).collect()) for p in ("train", "gap", "test")}
+    assert parts["test"][0] >= 79 and parts["train"][-1] + 10 < parts["test"][0] and sum(map(len, parts.values())) == 100
+    assert models.split_by_time(df.limit(0), "t", 10).count() == 0
+
+
+def test_horizon_forecast_beats_the_last_value(spark):
+    hours = spark.range(24 * 12).select(F.lit(1).alias("k"), (F.lit("2024-03-01").cast("timestamp_ntz") + F.make_dt_interval(
+        hours=F.col("id").cast("int"))).alias("t"), (F.sin(F.col("id") * (2 * np.pi / 24)) + 2).alias("x"))
+    got = forecasting.horizon_forecast(hours, SeriesOrder(("k",), "t", long=False), "x", 24, 12, trees=10).toPandas()
+    assert ((got.label - got.prediction) ** 2).mean() < 0.1 * ((got.label - got.last_value) ** 2).mean()
