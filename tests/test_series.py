@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from sunframe.operators import quantiles, series
@@ -67,3 +68,19 @@ def test_running_total(spark):
     data = pd.DataFrame({"x": np.random.default_rng(3).permutation(2000) / 7.0, "n": 1})
     got = quantiles.running_total(spark.createDataFrame(data), "x", ["n"]).toPandas()
     assert (got.sort_values("x")["n_before"].to_numpy() == np.arange(2000)).all()
+
+
+@pytest.mark.parametrize("accuracy,most_inside", [(20, 5), (200, 50), (100_000, 50_000)])
+def test_quantile_brackets_are_narrowed(spark, accuracy, most_inside):
+    """Coarse sketches: many rounds, brackets that miss, a value that a third of the rows share, one-row groups."""
+    rng = np.random.default_rng(8)
+    rows = [("a", float(x)) for x in rng.normal(size=900)] + [("a", 0.25)] * 500 + [("b", float(x)) for x in rng.pareto(0.5, 700)]
+    rows += [("c", 4.0), ("d", 1.0), ("d", 2.0), ("e", None), (None, 3.0), (None, 5.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    got = {(r.g, r.prob): r.value for r in quantiles.exact_quantiles(df, ["x"], probs, ["g"], accuracy, most_inside).collect()}
+    for g in ("a", "b", "c", "d", None):
+        own = [x for k, x in rows if k == g and x is not None]
+        for p in probs:
+            assert got[g, p] == pytest.approx(np.quantile(own, p), abs=1e-12), (g, p)
+    assert len(got) == 5 * len(probs)
