@@ -24,7 +24,6 @@ from .series import top_k_per_key
 
 DIRECT_PAIRS = 50_000_000  # up to here comparing everyone is cheaper than looking for a bar
 SEED_CLASSES = 6
-MAX_CLASSES = 1_000
 
 
 @dataclass(frozen=True)
@@ -32,8 +31,8 @@ class Reach:
     """How seekers and partners meet.
 
     ``limit`` is the largest distance of a pair, a column of the side ``limit_side`` names.
-    ``classes`` splits partners, ``summary`` describes a class by aggregates, ``bound`` turns a
-    class summary into the largest quality a seeker can find there (null: none).
+    ``classes`` splits partners (the first one coarsely, all of them finely), ``summary`` describes a class by
+    aggregates, ``bound`` turns a class summary into the largest quality a seeker can find there (null: none).
     ``relevant`` lists all partner columns the score depends on.
     """
 
@@ -85,25 +84,30 @@ def _all_in_reach(seekers: DataFrame, partners: DataFrame, plan: Reach) -> DataF
 def _bounded(seekers: DataFrame, partners: DataFrame, plan: Reach, k: int) -> DataFrame:
     # equal partners differ by id only, so no more than the k lowest ids of each can be chosen
     copies = Window.partitionBy(*plan.relevant, *plan.partner_at).orderBy(plan.partner_id)
+    names = [F.coalesce(c.cast("string"), F.lit("none")) for c in plan.classes]
     tagged = materialize(
         partners.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
-        .withColumn("_class", F.concat_ws("|", *[c.cast("string") for c in plan.classes])), "partners")
-    limit = F.max(plan.limit) if plan.limit_side == "partner" else F.lit(None).cast("double")
-    summaries = tagged.groupBy("_class").agg(
-        *[a.alias(n) for n, a in plan.summary.items()], limit.alias("_limit"))
-    summaries = materialize(summaries, "partner-classes")
-    if summaries.limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
-        return _all_in_reach(seekers, tagged.drop("_class"), plan)
-    listed = summaries.agg(F.collect_list(F.struct(*summaries.columns)))
-    rated = F.transform(F.col("_classes"), lambda c: F.struct(
-        (-plan.bound(c)).alias("rank"), c["_class"].alias("want"), c["_limit"].alias("cap")))
-    asking = seekers.withColumn("_classes", listed.scalar()).withColumn(
-        "_classes", F.array_sort(F.filter(rated, lambda c: c["rank"].isNotNull())))
-    asking = materialize(asking, "seekers")
-    cap = F.coalesce(F.col("_pick.cap"), plan.limit) if plan.limit_side == "seeker" else F.col("_pick.cap")
+        .withColumns({"_class": F.concat_ws("|", *names), "_branch": names[0]}), "partners")
+    tree = materialize(_class_tree(tagged, plan), "partner-classes")
+    tagged = tagged.drop("_branch")
+    asking = materialize(seekers, "seekers")
+    # the tree is one value, as many entries as there are classes, however many partners; it is never shuffled
+    told = tree.scalar()
+
+    def rated(classes: Column) -> Column:
+        """Classes with something for the seeker, the most promising first."""
+        made = F.transform(classes, lambda c: F.struct(
+            (-plan.bound(c)).alias("rank"), c["_class"].alias("want"), c["_limit"].alias("cap")))
+        return F.array_sort(F.filter(made, lambda c: c["rank"].isNotNull()))
+
+    def leaves(branches: Column) -> Column:
+        return rated(F.flatten(F.transform(branches, lambda b: b["leaves"])))
 
-    first = asking.withColumn("_pick", F.explode(F.slice("_classes", 1, SEED_CLASSES))).withColumns(
-        {"_want": F.col("_pick.want"), "_cap": cap, "_best": -F.col("_pick.rank")}).drop("_pick", "_classes")
+    cap = F.coalesce(F.col("_pick.cap"), plan.limit) if plan.limit_side == "seeker" else F.col("_pick.cap")
+    hopeful = F.filter("_tree", lambda b: plan.bound(b).isNotNull())
+    ranked = F.array_sort(F.transform(hopeful, lambda b: F.struct((-plan.bound(b)).alias("rank"), b["leaves"].alias("leaves"))))
+    first = asking.withColumn("_tree", told).withColumn("_pick", F.explode(F.slice(leaves(F.slice(ranked, 1, SEED_CLASSES)), 1, SEED_CLASSES))).withColumns(
+        {"_want": F.col("_pick.want"), "_cap": cap, "_best": -F.col("_pick.rank")}).drop("_pick", "_tree")
     spots = first.groupBy(*plan.seeker_at, "_want").agg(F.max("_cap").alias("_cap"))
     spots = spots.withColumnsRenamed({plan.seeker_at[0]: "_at0", plan.seeker_at[1]: "_at1", "_want": "_class_wanted"})
     found = nearest_on_globe(spots, tagged, ("_at0", "_at1"), plan.partner_at, plan.partner_id, k,
@@ -130,10 +134,12 @@ def _bounded(seekers: DataFrame, partners: DataFrame, plan: Reach, k: int) -> Da
     known = asking.join(bars, plan.seeker_id, "left")
     if plan.floor is not None:
         known = known.withColumn("_bar", F.greatest("_bar", plan.floor))
+    known = known.withColumn("_tree", told)
     bar, best = F.col("_bar") - 1e-9, -F.col("_pick.rank")
-    disks = known.withColumn("_pick", F.explode("_classes")).where(bar.isNull() | (best + plan.weight >= bar))
+    worth = F.filter("_tree", lambda b: bar.isNull() & plan.bound(b).isNotNull() | (plan.bound(b) + plan.weight >= bar))
+    disks = known.withColumn("_pick", F.explode(leaves(worth))).where(bar.isNull() | (best + plan.weight >= bar))
     paid = F.when(bar > best, (1 - (bar - best) / plan.weight) * plan.reach_km + 1e-6)
-    disks = disks.withColumns({"_want": F.col("_pick.want"), "_radius": F.least(cap, paid)}).drop("_pick", "_classes")
+    disks = disks.withColumns({"_want": F.col("_pick.want"), "_radius": F.least(cap, paid)}).drop("_pick", "_tree")
     disks = disks.where(F.col("_radius") >= 0).join(settled, [plan.seeker_id, "_want"], "left_anti")
     disks = materialize(disks, "disks")
     pairs = radius_join(tagged, disks, plan.partner_at, plan.seeker_at, F.col("_radius"),
@@ -141,3 +147,14 @@ def _bounded(seekers: DataFrame, partners: DataFrame, plan: Reach, k: int) -> Da
     scored = _kept(pairs.drop("_class", "_want", "_radius"), plan)
     scored = scored.where(F.col("_bar").isNull() | (F.col("_score") >= F.col("_bar") - 1e-9)).drop("_bar")
     return scored.unionByName(certain.select(*scored.columns))
+
+
+def _class_tree(tagged: DataFrame, plan: Reach) -> DataFrame:
+    """One row, one array: every branch (first class column) with its summary and the summaries of its leaves."""
+    limit = F.max(plan.limit) if plan.limit_side == "partner" else F.lit(None).cast("double")
+    aggs = [*[a.alias(n) for n, a in plan.summary.items()], limit.alias("_limit")]
+    names = [*plan.summary, "_limit"]
+    leaf = tagged.groupBy("_branch", "_class").agg(*aggs)
+    lists = leaf.groupBy(F.col("_branch").alias("_of")).agg(F.collect_list(F.struct("_class", *names)).alias("leaves"))
+    branch = tagged.groupBy("_branch").agg(*aggs).join(lists, F.col("_branch").eqNullSafe(F.col("_of")))
+    return branch.agg(F.collect_list(F.struct(*names, "leaves")).alias("tree"))
