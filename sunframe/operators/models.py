@@ -12,6 +12,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import evaluation
 from .isolation import IsolationForest, flag_anomalies
 from .quantiles import running_total
@@ -170,7 +171,7 @@ def time_folds(df: DataFrame, ts: str, folds: int = 5) -> DataFrame:
 
 def time_series_cv(df: DataFrame, estimator: Pipeline, ts: str, label: str, folds: int = 5) -> DataFrame:
     """RMSE per expanding fold; one fit per fold."""
-    parts = time_folds(df, ts, folds).persist()
+    parts = materialize(time_folds(df, ts, folds), "time-folds")  # read by every fit
     out = None
     for i in range(1, folds + 1):
         model = estimator.fit(parts.where(F.col("fold") < i))
@@ -250,8 +251,6 @@ def train_anomaly(df: DataFrame, row_id: str, name: str = "isolation_forest", tr
 def anomaly_report(df: DataFrame, row_id: str, features: list[str], contamination: float = 0.05,
                    trees: int = 100) -> DataFrame:
     """Every row with its anomaly score and flag."""
-    from ..session import materialize
-
     forest = IsolationForest.fit(df, row_id, features, trees)
     return flag_anomalies(materialize(forest.score(df), "anomaly-scores"), contamination)
 
