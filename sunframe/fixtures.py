@@ -36,6 +36,17 @@ VIEWS: dict[str, str] = {
                CASE WHEN event_id % 13 = 0 THEN NULL
                     ELSE CAST(15 + event_id % 30 AS DOUBLE) END AS temperature
         FROM events""",
+    "side_readings": """
+        SELECT event_id AS reading_id, user_id % 2 AS device_id, ts AS event_ts, value / 47 AS power_kw,
+               CAST(15 + event_id % 30 AS DOUBLE) AS temperature
+        FROM events""",
+    "side_gappy": """
+        SELECT event_id AS reading_id, user_id % 2 AS device_id, ts AS event_ts,
+               CASE WHEN event_id % 11 = 0 OR (event_id % 360) < 40 THEN NULL
+                    ELSE value / 47 END AS power_kw,
+               CASE WHEN event_id % 13 = 0 THEN NULL
+                    ELSE CAST(15 + event_id % 30 AS DOUBLE) END AS temperature
+        FROM events""",
     "device_registry": """
         SELECT user_id AS device_id, CAST(3 + user_id % 8 AS DOUBLE) AS capacity_kw,
                CAST(user_id % 12 AS DOUBLE) AS panel_age_years,

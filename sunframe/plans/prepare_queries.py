@@ -519,14 +519,15 @@ def _planar(spark, sf):
 
 # -- windows ---------------------------------------------------------------------------------
 
-LAGS, SIZES = (1, 24, 168), (6, 24, 168)
+# The readings of the even and of the odd devices as one series each: long enough for every lag and window.
+LAGS, SIZES = features.LAGS, features.ROLLING
 
 
 @query("lag_features", f"""SELECT reading_id, {', '.join(
     r(f'lag({c}, {n}) OVER ({SERIES})', f'{c}_lag_{n}h') for c in ('power_kw', 'temperature') for n in LAGS)}
-    FROM readings""", "readings")
+    FROM side_readings""", "side_readings")
 def _lag_features(spark, sf):
-    made = features.lag_features(view(spark, sf, "readings"), BY_DEVICE, ["power_kw", "temperature"], LAGS)
+    made = features.lag_features(view(spark, sf, "side_readings"), BY_DEVICE, ["power_kw", "temperature"], LAGS)
     return made.select("reading_id", *[c for c in made.columns if "_lag_" in c])
 
 
@@ -536,9 +537,9 @@ def _rolling_sql(c: str, source: str = "") -> str:
                      for n in SIZES for name, f in (("mean", "avg"), ("std", "stddev_samp"), ("max", "max"), ("min", "min")))
 
 
-@query("rolling_features", f"SELECT reading_id, {_rolling_sql('power_kw')} FROM readings", "readings")
+@query("rolling_features", f"SELECT reading_id, {_rolling_sql('power_kw')} FROM side_readings", "side_readings")
 def _rolling_features(spark, sf):
-    made = features.rolling_features(view(spark, sf, "readings"), BY_DEVICE, ["power_kw"], SIZES)
+    made = features.rolling_features(view(spark, sf, "side_readings"), BY_DEVICE, ["power_kw"], SIZES)
     return made.select("reading_id", *[c for c in made.columns if "_rolling_" in c])
 
 
@@ -600,7 +601,7 @@ def _pipeline_sql(columns: list[str], lags: dict[str, tuple], smooth: bool) -> s
       ready AS (SELECT * FROM history WHERE {' AND '.join(f'{c}_lag_{n}h IS NOT NULL' for c, ns in lags.items() for n in ns)})"""
 
 
-PIPE_SIZES, PIPE_LAGS, USE_LAGS = (6, 24), (1, 6, 24), (1, 6, 24, 30)
+PIPE_SIZES, PIPE_LAGS, USE_LAGS = features.ROLLING, features.LAGS, features.CONSUMPTION_LAGS
 PIPE = ["power_kw", "temperature"]
 _SHOWN = ["power_kw", "temperature", "power_kw_lag_24h", "power_kw_rolling_mean_24h", "power_kw_rolling_std_6h"]
 
@@ -616,21 +617,19 @@ _HOUR_SIN = "sin(hour(event_ts) * (2 * pi() / 24))"
     SELECT reading_id, {_scaled_sql(_SHOWN)},
         {r(f'({_HOUR_SIN} - avg({_HOUR_SIN}) OVER ()) / stddev_pop({_HOUR_SIN}) OVER ()', 'hour_sin')},
         {r('(temperature * temperature - avg(temperature * temperature) OVER ()) / stddev_pop(temperature * temperature) OVER ()', 'temperature_squared')},
-        {r('0', 'system_panel_capacity_kw')} FROM ready""", "readings_gappy",
-       f"""{_NUMBERED}, {_NEAR}, filled AS (SELECT reading_id, device_id, event_ts,
+        {r('0', 'system_panel_capacity_kw')} FROM ready""", "side_gappy",
+       f"""{_NUMBERED.replace('readings_gappy', 'side_gappy')}, {_NEAR}, filled AS (SELECT reading_id, device_id, event_ts,
            {', '.join(f'{_linear_sql(c)} AS {c}' for c in PIPE)} FROM near),
            {_pipeline_sql(PIPE, {'power_kw': PIPE_LAGS, 'temperature': PIPE_LAGS}, True)}""")
 def _solar_pipeline(spark, sf):
-    made, _ = pipelines.solar_pipeline(view(spark, sf, "readings_gappy"), BY_DEVICE, 5.0,
-                                       columns=PIPE, lags=PIPE_LAGS, sizes=PIPE_SIZES)
+    made, _ = pipelines.solar_pipeline(view(spark, sf, "side_gappy"), BY_DEVICE, 5.0, columns=PIPE)
     return made.select("reading_id", *_SHOWN, "hour_sin", "temperature_squared", "system_panel_capacity_kw")
 
 
-@query("consumption_pipeline", f"SELECT reading_id, {_scaled_sql([*_SHOWN, 'power_kw_lag_30h'])} FROM ready",
-       "readings_gappy", f"""filled AS (SELECT reading_id, device_id, event_ts, {', '.join(
+@query("consumption_pipeline", f"SELECT reading_id, {_scaled_sql([*_SHOWN, 'power_kw_lag_720h'])} FROM ready",
+       "side_gappy", f"""filled AS (SELECT reading_id, device_id, event_ts, {', '.join(
            f'coalesce({c}, avg({c}) OVER (PARTITION BY hour(event_ts), isodow(event_ts))) AS {c}' for c in PIPE)}
-           FROM readings_gappy), {_pipeline_sql(PIPE, {'power_kw': USE_LAGS}, False)}""")
+           FROM side_gappy), {_pipeline_sql(PIPE, {'power_kw': USE_LAGS}, False)}""")
 def _consumption_pipeline(spark, sf):
-    made, _ = pipelines.consumption_pipeline(view(spark, sf, "readings_gappy"), BY_DEVICE,
-                                             columns=PIPE, lags=USE_LAGS, sizes=PIPE_SIZES)
-    return made.select("reading_id", *_SHOWN, "power_kw_lag_30h")
+    made, _ = pipelines.consumption_pipeline(view(spark, sf, "side_gappy"), BY_DEVICE, columns=PIPE)
+    return made.select("reading_id", *_SHOWN, "power_kw_lag_720h")
