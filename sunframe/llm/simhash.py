@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tools import Scratch, connected_components, key_groups, local_roots, with_fields
+from .tools import Scratch, connected_components, key_groups, local_roots
 
 SHINGLE = 3
 SEED = 42
@@ -53,29 +53,17 @@ def text_fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and ``__fp``: the bits of the fingerprint as a signed long."""
-    place = docs.columns.index("text")
+def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, fp)`` of every row; fp is the fingerprint's bits as a signed long."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id") if key == "doc_id" else key, F.col("text").cast("binary"))
 
-    def scan(batches):
-        for batch in batches:
-            values = [text_fingerprint((t or "").encode()) for t in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.array(values, dtype=np.uint64).view(np.int64))], names=[*batch.schema.names, "__fp"])
-
-    return docs.mapInArrow(scan, with_fields(docs, __fp="long"))
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` of every row; fp is the fingerprint's bits as a signed long."""
     def scan(batches):
         for batch in batches:
             values = [text_fingerprint(t or b"") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(values, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
+                [batch.column(0), pa.array(np.array(values, dtype=np.uint64).view(np.int64))], names=[key, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(
-        scan, "doc_id long, fp long")
+    return slim.mapInArrow(scan, f"{key} {slim.schema[0].dataType.simpleString()}, fp long")
 
 
 def bucket_keys(fp: Column, radius: int = RADIUS, blocks: int = BLOCKS) -> Column:
@@ -181,10 +169,12 @@ def keep_representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "representatives")
     row = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.xxhash64(*[f"`{c}`" for c in docs.columns]).alias("h"))
-    prints = scratch.save(with_fingerprints(docs.select("*", row.alias("__row")).select(*docs.columns, "__row")), "prints")
-    distinct = scratch.save(prints.groupBy(F.col("__fp").alias("fp")).agg(F.min("__row").alias("least")), "distinct")
-    chosen = _roots(distinct, radius, scratch).groupBy("root").agg(F.min(F.struct("least", "fp")).alias("best"))
-    chosen = scratch.save(chosen.select(F.col("best.fp").alias("__of"), F.col("best.least").alias("__best")), "chosen")
-    kept = scratch.read("prints").join(chosen, (F.col("__fp") == F.col("__of")) & F.col("__row").eqNullSafe(F.col("__best")))
-    # equal rows remain together; each component has its own fingerprint here, and any of them is the same row
-    return kept.dropDuplicates(["__fp"]).select(*[f"`{c}`" for c in docs.columns])
+    prints = scratch.save(fingerprints(docs.select("text", row.alias("__row")), "__row"), "prints")
+    distinct = scratch.save(prints.groupBy("fp").agg(F.min("__row").alias("least")), "distinct")
+    chosen = scratch.save(_roots(distinct, radius, scratch).groupBy("root").agg(F.min("least").alias("best"))
+                          .select(F.col("best.id").alias("__id"), F.col("best.h").alias("__best")), "chosen")
+    scratch.drop("prints", "distinct")
+    hashed = docs.withColumn("__h", row["h"])
+    # equal rows have equal hashes and lie in one component, so one of them is as good as another
+    kept = hashed.join(chosen, (F.col("__h") == F.col("__best")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    return kept.dropDuplicates(["__h"]).select(*[f"`{c}`" for c in docs.columns])
