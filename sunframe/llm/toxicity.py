@@ -43,13 +43,15 @@ BEGINNINGS = range(3, 9)
 #: A score from which a text is called toxic.
 TOXIC = 0.3
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Patterns of spelling that may go with abuse; the label model finds out whether they do.
+#: Patterns of spelling in a token that may go with abuse; the label model finds out whether they do.
 PATTERNS = {
     "marks": re.compile(r"[!?]{2,}"),
     "starred": re.compile(r"[^\W\d_][*@#$%]+[^\W\d_]"),
-    "shouting": re.compile(r"(?:\b[^\W\d_a-zß-öø-ÿ]{3,}\b\W+){3}"),
+    "shouting": re.compile(r"\W*[^\W\d_a-zß-öø-ÿ]{3,}\W*\Z"),
     "stretched": re.compile(r"([^\W\d_])\1{3}"),
 }
+#: Tokens of a text that must show a pattern: one in so many, and this many at least.
+SPELLED_SHARE, SPELLED = 20, 2
 ABSTAIN, CLEAN, BAD = 0, 1, 2
 #: Weight of the labelled sample's votes against those of all documents.
 ANCHOR = 0.2
@@ -58,8 +60,50 @@ ROUNDS = 60
 REGULAR = 0.0003
 
 
-def word_counts(text: str | None) -> Counter:
-    return Counter(LETTERS.findall(text.lower())) if text else Counter()
+def words_of(text: str | None) -> list[str]:
+    if not text:
+        return []
+    return [text.lower()] if text.isalpha() and text.isascii() else LETTERS.findall(text.lower())
+
+
+class TermIndex:
+    """Which of a set of terms a word has; beginnings are followed only as long as some term goes on that way."""
+
+    def __init__(self, terms: dict):
+        self.words = {t: v for t, v in terms.items() if not t.endswith("*")}
+        self.starts = {t[:-1]: v for t, v in terms.items() if t.endswith("*")}
+        self.paths = frozenset(t[:n] for t in self.starts for n in range(BEGINNINGS.start, len(t) + 1))
+
+    def of(self, word: str) -> list:
+        """The values of the terms, those of the word and of its beginnings."""
+        out = [self.words[word]] if word in self.words else []
+        for n in range(BEGINNINGS.start, min(len(word), BEGINNINGS.stop)):
+            start = word[:n]
+            if start not in self.paths:
+                break
+            if start in self.starts:
+                out.append(self.starts[start])
+        return out
+
+
+class Remembered:
+    """What a token means, worked out once and kept up to a bound; tokens without meaning are passed over."""
+
+    def __init__(self, meaning, bound: int = 600_000):
+        self.meaning, self.bound, self.met = meaning, bound, {}
+
+    def of(self, tokens: Counter) -> list[tuple]:
+        """(meaning, count) of the tokens that have one."""
+        met, out = self.met, []
+        for token, n in tokens.items():
+            got = met.get(token)
+            if got is None:
+                if len(met) >= self.bound:
+                    met.clear()
+                got = met[token] = self.meaning(token) or ()
+            if got:
+                out.append((got, n))
+        return out
 
 
 def terms_of(word: str) -> list[str]:
@@ -96,7 +140,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
         counts: dict[str, list[float]] = {}
         for batch in batches:
             for text, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for term in {t for w in word_counts(text) for t in terms_of(w)}:
+                for term in {t for w in set(words_of(text)) for t in terms_of(w)}:
                     at = counts.get(term)
                     if at is None:
                         at = counts[term] = [0.0, 0.0]
@@ -122,7 +166,7 @@ def telling_terms(counts: DataFrame, bad: float, good: float, most: int, toxic_o
     z = (p - q) / F.sqrt(joint * (1 - joint) * (1 / (bad + 1) + 1 / (good + 1)))
     enough = F.col("bad") >= SUPPORT if toxic_only else F.col("bad") + F.col("good") >= SUPPORT
     ranked = counts.where(enough).select("term", p.alias("p"), q.alias("q"), z.alias("z"))
-    ranked = ranked.where("z > 3 and p > 3 * q") if toxic_only else ranked.withColumn("z", F.abs("z"))
+    ranked = ranked.where("z > 3 and p > 3 * q") if toxic_only else ranked.withColumn("z", F.abs("z")).where("z > 3")
     return [(r.term, r.p, r.q) for r in ranked.orderBy(F.desc("z"), "term").limit(most).collect()]
 
 
@@ -142,28 +186,31 @@ VOTERS = [f"{kind} {band}" for kind in ("words", "short stems", "middle stems",
 
 
 class Voters:
-    """Votes of a text; remembers the lists of words it has met, up to a bound."""
+    """Votes of a text, from what its tokens (between white space) mean: words in lists, and patterns of spelling."""
 
-    def __init__(self, lexicon: dict[str, tuple[int, ...]], remember: int = 200_000):
-        self.lexicon, self.remember, self.met = lexicon, remember, {}
+    def __init__(self, lexicon: dict[str, tuple[int, ...]]):
+        self.index, self.tokens = TermIndex(lexicon), Remembered(self.meaning)
 
-    def lists(self, word: str) -> tuple[int, ...]:
-        got = self.met.get(word)
-        if got is None:
-            if len(self.met) >= self.remember:
-                self.met.clear()
-            got = self.met[word] = tuple(sorted({n for t in terms_of(word) for n in self.lexicon.get(t, ())}))
-        return got
+    def meaning(self, token: str) -> tuple | None:
+        words = tuple((w, found) for w in set(words_of(token))
+                      if (found := tuple(sorted({n for lists in self.index.of(w) for n in lists}))))
+        # a token of small letters alone can only be stretched
+        plain = token.islower() and token.isalpha()
+        shown = tuple(k for k, (name, p) in enumerate(PATTERNS.items()) if (not plain or name == "stretched") and p.search(token))
+        return (words, shown) if words or shown else None
 
     def votes(self, text: str | None) -> list[int]:
-        counts = word_counts(text)
-        hits, words, strong = [0] * N_LISTS, set(), 0
-        for word, n in counts.items():
-            for k in self.lists(word):
-                hits[k] += n
-                words.add(word)
-                strong += n * (k % 2 == 0)
+        counts = Counter((text or "").split())
         total = max(1, sum(counts.values()))
+        hits, spelled, words, strong = [0] * N_LISTS, [0] * len(PATTERNS), set(), 0
+        for (listed, shown), n in self.tokens.of(counts):
+            for word, lists in listed:
+                words.add(word)
+                for k in lists:
+                    hits[k] += n
+                    strong += n * (k % 2 == 0)
+            for k in shown:
+                spelled[k] += n
         out = []
         for k in range(N_LISTS):
             enough = hits[k] >= 1 if k % 2 == 0 else hits[k] >= max(2, total / 100)
@@ -171,7 +218,7 @@ class Voters:
         out.append(BAD if len(words) >= 3 else CLEAN if not words else ABSTAIN)
         out.append(BAD if strong >= max(2, total / 50) else CLEAN if strong < total / 500 else ABSTAIN)
         out.append(CLEAN if not strong else ABSTAIN)
-        return out + [BAD if text and p.search(text) else ABSTAIN for p in PATTERNS.values()]
+        return out + [BAD if n >= max(SPELLED, total / SPELLED_SHARE) else ABSTAIN for n in spelled]
 
 
 def pattern_number(votes: list[int]) -> int:
@@ -294,20 +341,18 @@ def fit_label_model(votes: np.ndarray, bad: np.ndarray, good: np.ndarray, n: np.
 
 
 class Features:
-    """The features a text has, with their values; remembers the words it has met, up to a bound."""
+    """The features a text has, with their values."""
 
-    def __init__(self, terms: dict[str, int], remember: int = 200_000):
-        self.terms, self.remember, self.met = terms, remember, {}
+    def __init__(self, terms: dict[str, int]):
+        self.index, self.tokens = TermIndex(terms), Remembered(self.meaning)
+
+    def meaning(self, token: str) -> tuple[int, ...]:
+        return tuple(k for w in words_of(token) for k in self.index.of(w))
 
     def of(self, text: str | None) -> dict[int, float]:
-        met, sums = self.met, {}
-        for word, n in word_counts(text).items():
-            got = met.get(word)
-            if got is None:
-                if len(met) >= self.remember:
-                    met.clear()
-                got = met[word] = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
-            for k in got:
+        sums: dict[int, int] = {}
+        for features, n in self.tokens.of(Counter((text or "").split())):
+            for k in features:
                 sums[k] = sums.get(k, 0) + n
         return {k: float(np.log2(1 + n)) for k, n in sums.items()}
 
@@ -376,9 +421,13 @@ def fit_classifier(docs: DataFrame, lexicon, label_model: LabelModel, trained: i
         return terms, np.zeros(0), float(np.log(label_model.prior / (1 - label_model.prior)))
     given = spark.sparkContext.broadcast(terms)
 
+    held = []
+
     @F.udf(returnType=VectorUDT())
     def vector(text):  # rows of the bounded sample only
-        return Vectors.sparse(len(given.value), Features(given.value).of(text))
+        if not held:
+            held.append(Features(given.value))
+        return Vectors.sparse(len(given.value), held[0].of(text))
 
     # a posterior of p is a toxic example of weight p and a clean one of weight 1 - p
     examples = judged.withColumn("features", vector("text")).select(

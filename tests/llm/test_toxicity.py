@@ -87,3 +87,24 @@ def test_odd_rows(spark, odd_docs):
     nobody = toxicity.toxicity_report(odd_docs, labels.where("toxic = 0"))
     assert nobody.where("score <> 0").count() == 0 and nobody.count() == odd_docs.count()
     assert toxicity.toxicity_report(odd_docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_term_index_equals_looking_up_every_term():
+    rng = np.random.default_rng(2)
+
+    def word():
+        return "".join(rng.choice(list("abc"), rng.integers(1, 12)))
+
+    for _ in range(60):
+        words = [word() for _ in range(50)]
+        terms = {t: i for i, t in enumerate(sorted({t for w in words[:20] for t in toxicity.terms_of(w)[::2]}))}
+        index = toxicity.TermIndex(terms)
+        for w in words:
+            assert sorted(index.of(w)) == sorted(terms[t] for t in toxicity.terms_of(w) if t in terms)
+
+
+def test_spelling_of_tokens():
+    voters = toxicity.Voters({"idiot": (0,), "idi*": (2,)})
+    for token in ["idiot!!", "IDIOT", "ab*cd", "sooooo", "plain", "Été", "a1b", "x", "LOUD,", "ß!"]:
+        want = tuple(k for k, p in enumerate(toxicity.PATTERNS.values()) if p.search(token))
+        assert (voters.meaning(token) or ((), ()))[1] == want
