@@ -3,10 +3,11 @@
 Lists are the cells of k-means centroids, fitted on a bounded sample (about ``SAMPLE`` distinct vectors chosen by
 hash); every row is indexed. A query probes the lists whose centroids promise the largest products,
 as many as the sample needs to find ``RECALL`` of the true neighbours among its own rows. Inside a list,
-vectors are rotated by a fixed random rotation and held in blocks of columns. After each block the partial product
-is a sample of the whole one: under the hypothesis that a candidate reaches the query's bar, the unseen part is
-about normal with the product of the residual lengths over sqrt(unseen dimensions) as its deviation; candidates
-for which the test rejects this are abandoned. What remains is multiplied out on the original vectors, in doubles.
+vectors are rotated by a fixed random rotation and held in blocks of columns. After each block a candidate is abandoned
+for either of two reasons. The seen part and the product of the unseen lengths together miss the query's bar: then it
+cannot reach it. Or the difference of the two vectors, both brought to length one, is too long in the seen columns: at
+the bar its length is known, and the rotation, which knows nothing of the data, spreads it over the columns by a beta
+law, so that this test holds for vectors of any kind. What remains is multiplied out on the original vectors, in doubles.
 
 Lists longer than ``PART_ROWS`` are cut into parts by hash. A streamed task takes a stripe of list parts and a slice
 of ``TASK_BLOCKS`` query blocks, one part at a time; its queries' best so far are bars for the parts that follow, and it
@@ -38,8 +39,8 @@ RECALL = 0.975
 TEST_QUERIES = 512
 PART_ROWS = 8_192
 COLUMN_BLOCK = 16
-#: Deviations at which a candidate is abandoned: about one in a thousand true ones is lost per test.
-DEVIATIONS = 3.0
+#: Deviations at which a candidate is abandoned: less than one in a thousand true ones is lost per test.
+DEVIATIONS = 4.0
 #: Below this share of candidates left, they are followed one by one instead of in whole column blocks.
 SPARSE = 0.02
 QUERY_BLOCK = 2_048
@@ -92,6 +93,12 @@ def probes_for(sample: np.ndarray, centres: np.ndarray, spread: np.ndarray, own:
     return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
 
 
+def seen_share(edge: int, dim: int, deviations: float) -> float:
+    """The most of a difference's squared length that its first ``edge`` rotated columns hold: the beta law's mean and some deviations."""
+    mean = edge / dim
+    return mean + deviations * np.sqrt(mean * (1 - mean) / (dim / 2 + 1))
+
+
 def scan_part(queries: np.ndarray, bars: np.ndarray, vecs: np.ndarray, ids: np.ndarray, turn: np.ndarray, k: int,
               deviations: float = DEVIATIONS, width: int = COLUMN_BLOCK) -> Best:
     """The best k+1 of one list part for its queries."""
@@ -101,6 +108,8 @@ def scan_part(queries: np.ndarray, bars: np.ndarray, vecs: np.ndarray, ids: np.n
     q_left = np.sqrt(np.maximum(0, np.cumsum((q ** 2)[:, ::-1], axis=1)[:, ::-1]))
     x_left = np.sqrt(np.maximum(0, np.cumsum((x ** 2)[:, ::-1], axis=1)[:, ::-1]))
     edges = [*range(min(width, dim), dim, width), dim]
+    # half the share of the squared length that was seen; a zero vector has none
+    q_seen, x_seen = ((1 - (left / np.maximum(left[:, :1], 1e-300)) ** 2) / 2 for left in (q_left, x_left))
     for at in range(0, len(vecs), 1024):
         rows = slice(at, at + 1024)
         bar = np.maximum(bars, best.bar())
@@ -117,13 +126,16 @@ def scan_part(queries: np.ndarray, bars: np.ndarray, vecs: np.ndarray, ids: np.n
         if not len(live):
             continue
         for edge in edges:
-            allowed = deviations / np.sqrt(dim - edge) if edge < dim else 0.0
+            share = seen_share(edge, dim, deviations) if edge < dim else 1.0
             if i is None:  # many candidates are left: whole column blocks
                 part = part + q[live, done:edge] @ x[rows, done:edge].T
                 limit = (bar[live] - 1e-9 * (1 + np.abs(bar[live])))[:, None]
                 alive = part >= limit
-                if allowed:
-                    alive = part + (q_left[live, edge, None] * allowed) * x_left[None, rows, edge] >= limit
+                if edge < dim:
+                    alive = part + q_left[live, edge, None] * x_left[None, rows, edge] >= limit
+                    if share < 1:
+                        spare = share - q_seen[live, edge, None] - x_seen[None, rows, edge]
+                        alive &= part + q_left[live, 0, None] * x_left[None, rows, 0] * spare >= share * limit
                 some = alive.any(axis=1)
                 live, part, alive = live[some], part[some], alive[some]
                 if edge == dim or np.count_nonzero(alive) < SPARSE * alive.size:
@@ -132,7 +144,13 @@ def scan_part(queries: np.ndarray, bars: np.ndarray, vecs: np.ndarray, ids: np.n
             else:
                 part = part + np.einsum("ij,ij->i", q[i, done:edge], x[j, done:edge])
                 least = bar[i] - 1e-9 * (1 + np.abs(bar[i]))
-                keep = part >= least if not allowed else part + q_left[i, edge] * x_left[j, edge] * allowed >= least
+                if edge == dim:
+                    keep = part >= least
+                else:
+                    keep = part + q_left[i, edge] * x_left[j, edge] >= least
+                    if share < 1:
+                        spare = share - q_seen[i, edge] - x_seen[j, edge]
+                        keep &= part + q_left[i, 0] * x_left[j, 0] * spare >= share * least
                 i, j, part = i[keep], j[keep], part[keep]
             done = edge
             if not len(live) or (i is not None and not len(i)):

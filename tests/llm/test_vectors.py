@@ -65,6 +65,19 @@ def test_query_slices_change_nothing(vectors):
     assert lists(ann.search(df, is_query, query_block=4, task_blocks=2, stripes=3)) == lists(ann.nearest_twenty(df))
 
 
+@pytest.mark.parametrize("kind", ["offset", "flat"])
+def test_recall_on_alike_vectors(spark, kind):
+    """All vectors point about the same way, or lie in few dimensions: products are large, their unseen parts too."""
+    rng = np.random.default_rng(5)
+    made = rng.standard_normal((6000, 48)) + 3 if kind == "offset" else rng.standard_normal((6000, 3)) @ rng.standard_normal((3, 48))
+    rows = [(i, v.tolist()) for i, v in enumerate(made)]
+    got = lists(ann.nearest_twenty(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    scores = made[::20] @ made.T
+    scores[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :20].tolist()
+    assert sum(len({i for i, _ in got[20 * n]} & set(best)) for n, best in enumerate(want)) >= 0.9 * 20 * 300
+
+
 def test_recall_on_the_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
