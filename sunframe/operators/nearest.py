@@ -78,7 +78,8 @@ def nearest_k(
             placed, around = placed.withColumn(key, there), around.withColumn(key, F.explode(block))
         placed = placed.withColumnsRenamed({key: f"{key}_there" for key in keys})
         match = [around[key] == placed[f"{key}_there"] for key in keys] + [around[q] == placed[d] for q, d in same]
-        near = around.join(placed, match).drop(*keys, *[f"{key}_there" for key in keys]).withColumn("_distance", distance)
+        # a query is nine rows by now, which Spark's sizes do not show: it may not be broadcast
+        near = around.join(placed.hint("merge"), match).drop(*keys, *[f"{key}_there" for key in keys]).withColumn("_distance", distance)
         near = near.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k)
         if last:
             sure = F.lit(True)

@@ -90,7 +90,8 @@ def _bounded(seekers: DataFrame, partners: DataFrame, plan: Reach, k: int) -> Da
         .withColumns({"_class": F.concat_ws("|", *names), "_branch": names[0]}), "partners")
     tree = materialize(_class_tree(tagged, plan), "partner-classes")
     tagged = tagged.drop("_branch")
-    asking = materialize(seekers, "seekers")
+    # a small file would be one task, and every seeker is to meet every class
+    asking = materialize(seekers.repartition(seekers.sparkSession.sparkContext.defaultParallelism), "seekers")
     # the tree is one value, as many entries as there are classes, however many partners; it is never shuffled
     told = tree.scalar()
 
@@ -113,7 +114,8 @@ def _bounded(seekers: DataFrame, partners: DataFrame, plan: Reach, k: int) -> Da
     found = nearest_on_globe(spots, tagged, ("_at0", "_at1"), plan.partner_at, plan.partner_id, k,
                              F.col("_cap"), same=(("_class_wanted", "_class"),), planar=plan.planar)
     found = found.drop("_cap", "_class").withColumnRenamed("_distance", "distance_km")
-    seeds = first.join(found, [
+    # a seeker is several rows of ``first``, which Spark's sizes do not show: it may not be broadcast
+    seeds = first.join(found.hint("merge"), [
         first[plan.seeker_at[0]] == found["_at0"], first[plan.seeker_at[1]] == found["_at1"],
         first["_want"] == found["_class_wanted"]]).drop("_at0", "_at1", "_class_wanted")
     fits = F.col("distance_km") <= plan.limit
