@@ -24,7 +24,7 @@ def weather_as_of(df: DataFrame, weather: DataFrame, order: SeriesOrder, hour: s
     readings = df.withColumn("_side", F.lit(1))
     reports = weather.select(*order.keys, F.col(hour).alias(order.ts), *columns, F.lit(0).alias("_side"))
     merged = readings.unionByName(reports, allowMissingColumns=True)
-    lined = SeriesOrder(order.keys, order.ts, ("_side", *order.tiebreak), order.block_rows, order.grain, order.long)
+    lined = SeriesOrder(order.keys, order.ts, ("_side", *order.tiebreak), order.block_rows, order.grain, order.long, order.tasks)
     near = neighbours(merged, lined, columns)
     filled = near.withColumns({c: F.col(f"{c}_prev.value") for c in columns})
     return filled.where(F.col("_side") == 1).drop(

@@ -21,15 +21,17 @@ _ROW, _BLOCK, _HOME = "_sf_row", "_sf_block", "_sf_home"
 class SeriesOrder:
     """Key columns, time column and tiebreak of a table of series.
 
-    ``long`` says whether some key exceeds ``block_rows``; ``None`` means count first.
+    ``long`` says whether some key exceeds ``block_rows``; ``None`` means count first, which also sets ``tasks``, twice the
+    number of blocks.
     """
 
     keys: tuple[str, ...]
     ts: str
     tiebreak: tuple[str, ...] = ()
-    block_rows: int = 1_000_000
+    block_rows: int = 100_000
     grain: str = "hour"
     long: bool | None = None
+    tasks: int | None = None
 
     def plain_window(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(self.ts, *self.tiebreak)
@@ -41,8 +43,8 @@ class SeriesOrder:
         """Decide once, from a pre-aggregated row count per key."""
         if self.long is not None:
             return self
-        top = df.groupBy(*self.keys).count().agg(F.max("count")).first()[0] or 0
-        return replace(self, long=top > self.block_rows)
+        top, rows = df.groupBy(*self.keys).count().agg(F.max("count"), F.sum("count")).first()
+        return replace(self, long=(top or 0) > self.block_rows, tasks=2 * (rows or 0) // self.block_rows + 1)
 
 
 def number_rows(df: DataFrame, order: SeriesOrder, name: str = _ROW) -> DataFrame:
@@ -66,6 +68,11 @@ def number_rows(df: DataFrame, order: SeriesOrder, name: str = _ROW) -> DataFram
     return joined.withColumn(name, F.row_number().over(inside) + F.col(before)).drop(clock, before)
 
 
+def by_block(df: DataFrame, order: SeriesOrder) -> DataFrame:
+    """Few blocks a task, however many there are; left to themselves, tasks would take many and sort them as one."""
+    return df.repartition(*([order.tasks] if order.tasks else []), *order.keys, _BLOCK)
+
+
 def windowed(
     df: DataFrame,
     order: SeriesOrder,
@@ -99,6 +106,7 @@ def windowed(
         numbered.withColumn(_HOME, F.floor(zero_based / size))
         .withColumn(_BLOCK, F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
     )
+    spread = by_block(spread, order)
     window = Window.partitionBy(*order.keys, _BLOCK).orderBy(_ROW)
     return (
         run(spread, window)
@@ -152,7 +160,7 @@ def neighbours(df: DataFrame, order: SeriesOrder, columns: list[str]) -> DataFra
         *[F.last(f"_first_{c}", ignorenulls=True).over(ahead).alias(f"_ahead_{c}") for c in columns],
     )
     match = [blocked[g].eqNullSafe(carried[f"_o_{g}"]) for g in grouped]
-    joined = blocked.join(carried, match)
+    joined = by_block(blocked.join(carried, match), order)
     window = Window.partitionBy(*grouped)
     filled = joined.withColumns(around(window.orderBy(_ROW), window.orderBy(F.desc(_ROW))))
     for c in columns:

@@ -84,3 +84,13 @@ def test_quantile_brackets_are_narrowed(spark, accuracy, most_inside):
         for p in probs:
             assert got[g, p] == pytest.approx(np.quantile(own, p), abs=1e-12), (g, p)
     assert len(got) == 5 * len(probs)
+
+
+def test_a_long_series_is_many_tasks(spark):
+    """Blocks stay small, and tasks take few of them, however long the series is."""
+    df = spark.range(400_000).select(F.lit(1).alias("k"), F.timestamp_seconds("id").alias("t"), "id",
+                                     F.when(F.col("id") % 3 > 0, F.col("id")).alias("v"))
+    order = series.SeriesOrder(("k",), "t", ("id",))
+    for made in (series.windowed(df, order, lambda w: {"back": F.lag("id").over(w)}, 1), series.neighbours(df, order, ["v"])):
+        parts = [n for _, n in made.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(parts) == 400_000 and max(parts) <= 200_000
