@@ -2,9 +2,9 @@
 
 Base detectors (fixed patterns with checks) always count. Looser generators propose more spans, which may overlap
 them: numbers with any separators, mail addresses with spaces or words for their signs. Features of a proposal's
-format and of its surroundings go through gradient-boosted trees, trained on a bounded sample of proposals in which
-those that a base detector confirms are the positive ones; each kind's threshold is the lowest score at which a
-held-out half of the sample keeps the wanted precision. A proposal at or above it that overlaps no base span is
+format and of its surroundings go through gradient-boosted trees, trained on one half of the proposals of all documents, in
+which those that a base detector confirms are the positive ones; each kind's threshold is the lowest score at which the
+other, held-out half keeps the wanted precision. A proposal at or above it that overlaps no base span is
 added.
 
 The main path is DataFrame expressions alone: matches and the gaps between them give positions in code points
@@ -13,7 +13,7 @@ proposals of a row, so nothing is exploded, joined or shuffled while texts are r
 start at the edge of a run, so they take linear time and no deep stack on long runs.
 
 Defined cases: a NULL or empty text has no spans and the hash of the empty string; repeated rows and NULL ids return
-a row each; without proposals of both outcomes in the sample nothing is added to the base; extra columns are ignored.
+a row each; without proposals of both outcomes nothing is added to the base; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +40,6 @@ PROPOSE = {
             r"[A-Za-z0-9-]++(?:(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?|\x20dot\x20)[A-Za-z0-9-]++)++",
     "number": r"(?<![0-9])\+?+\(?+[0-9](?:[\x20().:/-]{0,2}+[0-9])++",
 }
-SAMPLE_DOCS = 20_000
 PRECISION = 0.99
 ROUNDS = 12
 DEPTH = 4
@@ -187,12 +186,9 @@ def judged(text: Column, source: str, array: Column) -> Column:
         feature_struct(text, x, source).alias("f")))
 
 
-def training_rows(docs: DataFrame, sample_docs: int) -> DataFrame:
-    """Proposals of a bounded hash sample of the documents that hold any: ``kind, label, half, f``."""
-    some = docs.where(F.col("text").rlike("[0-9]") | holds_proposal(F.col("text")))
-    share = min(1.0, sample_docs / max(some.select("text").count(), 1))
-    chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)
-    spans = with_spans(some.where(chosen), [])
+def training_rows(docs: DataFrame) -> DataFrame:
+    """Proposals of all documents that hold any: ``kind, label, half, f``."""
+    spans = with_spans(docs.where(F.col("text").rlike("[0-9]") | holds_proposal(F.col("text"))), [])
     every = F.concat(*[judged(F.col("__text"), s, F.col(f"__p_{s}")) for s in PROPOSE])
     return (spans.select(F.explode(every).alias("x"), F.array_compact(all_base()).alias("base"))
             .select("x.kind", "x.f", F.pmod(F.xxhash64("x.m", "x.s"), F.lit(2)).alias("half"),
@@ -233,11 +229,10 @@ class Judge:
         return F.coalesce(self.score(x.f) >= limit, F.lit(False))
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION, rounds: int = ROUNDS,
-          depth: int = DEPTH, seed: int = 7) -> Judge:
-    """Boosted trees on one half of the sampled proposals, thresholds from the other half."""
+def train(docs: DataFrame, precision: float = PRECISION, rounds: int = ROUNDS, depth: int = DEPTH, seed: int = 7) -> Judge:
+    """Boosted trees on one half of all proposals, thresholds from the other half."""
     scratch = Scratch(docs.sparkSession, "pii")
-    rows = scratch.save(training_rows(docs, sample_docs), "proposals")
+    rows = scratch.save(training_rows(docs), "proposals")
     seen = {r[0] for r in rows.where("half = 0").select("label").distinct().collect()}
     if len(seen) < 2:
         return Judge()

@@ -411,3 +411,13 @@ def test_trees_as_columns(spark, odd_docs):
                                  bfd_packing.pack, hmm.score_documents, pii.find_personal_data, pii.redact])
 def test_empty_tables(odd_docs, run):
     assert run(odd_docs.where("doc_id = -1")).count() == 0
+
+
+@pytest.mark.parametrize("run", [pii.find_personal_data, pii.redact])
+def test_personal_data_learns_from_all_documents(spark, monkeypatch, run):
+    from pyspark.sql import functions as F
+
+    seen, save = [], pii.Scratch.save
+    monkeypatch.setattr(pii.Scratch, "save", lambda self, *a: seen.append(save(self, *a)) or seen[-1])
+    run(spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("call 555-"), F.col("id") + 10_000_000).alias("text")))
+    assert seen[0].count() == 30_000
