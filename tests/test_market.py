@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sunframe.operators import indisk, investing, nearest, radius
+from sunframe.plans.registry import round6
 
 
 def scatter(spark, n, seed, prefix, copies=True):
@@ -42,6 +43,44 @@ def test_radius_join_across_the_date_line_and_near_the_pole(spark):
     assert {(r.a_id, r.b_id) for r in got} == {(1, 1), (2, 2)}
 
 
+def test_slices_of_a_crowded_cell_copy_few_rows(spark):
+    keys = [("_level", "_d_level")]
+    points = spark.range(400).select(F.col("id").alias("a_id"), F.lit(3).alias("_level"))
+    disks = spark.range(600).select(F.col("id").alias("b_id"), F.lit(3).alias("_d_level"))
+    a, b, on = radius._slice_hot(points, disks, keys, 100)
+    # parts of ten rows: every point meets 60 parts, every disk 40; one-sided slices listed 1.4 million disks
+    assert (a.count(), b.count()) == (400 * 60, 600 * 40)
+    pairs = a.join(b, [a[p] == b[d] for p, d in on])
+    assert pairs.select("a_id", "b_id").distinct().count() == pairs.count() == 400 * 600
+
+
+@pytest.mark.parametrize("planar", [False, True])
+def test_radius_join_lists_no_cell_out_of_reach(spark, planar):
+    wide = F.lit(1.0)
+    cells = spark.range(60).select(F.col("id").alias("_x")).crossJoin(spark.range(60).select(F.col("id").alias("_y")))
+    near = {(r._x, r._y) for r in cells.where(radius._touched(F.lit(30.5), F.lit(30.5), F.lit(1000.0), wide, planar)).collect()}
+    places = cells.select("_x", "_y", F.explode(F.array(*[F.lit(i / 8) for i in range(9)])).alias("u")).select(
+        "_x", "_y", "u", F.explode(F.array(*[F.lit(i / 8) for i in range(9)])).alias("v"))
+    measure = radius.planar_km if planar else radius.haversine_km
+    within = measure(F.lit(30.5), F.lit(30.5), F.col("_y") + F.col("v"), F.col("_x") + F.col("u")) <= 1000
+    held = {(r._x, r._y) for r in places.where(within).select("_x", "_y").distinct().collect()}
+    assert held <= near and len(near) < 1.2 * len(held)
+
+
+def test_radius_join_keeps_pairs_on_the_edge(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.uniform(-89, 89), rng.uniform(-180, 180), rng.uniform(0, 3), rng.uniform(-3, 3)) for i in range(300)]
+    pairs = spark.createDataFrame(rows, "id long, a_lat double, a_lon double, up double, out double").withColumns(
+        {"b_lat": F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.col("a_lat") + F.col("up"))), "b_lon": F.col("a_lon") + F.col("out")})
+    pairs = pairs.withColumn("r", radius.haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")))
+    pairs = pairs.unionByName(pairs.withColumns({"id": F.col("id") + 1000, "b_lat": F.col("a_lat"), "b_lon": F.col("a_lon"), "r": F.lit(0.0)}))
+    disks = pairs.select(F.col("id").alias("b_id"), "b_lat", "b_lon", "r")
+    points = pairs.select(F.col("id").alias("a_id"), "a_lat", "a_lon")
+    got = radius.radius_join(points, disks, ("a_lat", "a_lon"), ("b_lat", "b_lon"), F.col("r"))
+    own = got.where("a_id = b_id").select("a_id").distinct().count()  # the radius is the very distance
+    assert own == 600
+
+
 @pytest.mark.parametrize("cell_rows", [500, 4])
 def test_nearest_equals_brute_force(spark, cell_rows):
     a, rows_a = scatter(spark, 40, 3, "a")
@@ -56,6 +95,16 @@ def test_nearest_equals_brute_force(spark, cell_rows):
         assert got.get(x, set()) == {i for _, i in near}
 
 
+def test_quick_rounding_equals_decimal_rounding(spark):
+    rng = random.Random(6)
+    values = [0.0, -0.0, -1e-9, 5e-7, -5e-7, 1.0000005, 2.5e-6, 99999.9999995, 1e5, 1e300, float("nan"), float("inf"), None,
+              *[rng.uniform(-60, 60) for _ in range(2000)], *[k / 2e6 for k in range(-500, 500)],
+              *[rng.uniform(-1e5, 1e5) for _ in range(2000)]]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select(
+        round6(F.col("x")).cast("string").alias("quick"), F.round("x", 6).cast("string").alias("slow"))
+    assert df.where(~F.col("quick").eqNullSafe(F.col("slow"))).count() == 0
+
+
 def test_affordable_hosts_counts(spark):
     hosts = spark.createDataFrame([(float(c),) for c in (1, 2, 2, 5)], "available_capacity_kw double")
     buyers = spark.createDataFrame([(1, 0.0), (2, 550000 * 2 / 1.2 + 1), (3, 1e9)], "buyer_id long, budget double")
