@@ -54,6 +54,44 @@ def test_slices_of_a_crowded_cell_copy_few_rows(spark):
     assert pairs.select("a_id", "b_id").distinct().count() == pairs.count() == 400 * 600
 
 
+@pytest.mark.parametrize("limit", [4_000_000, 50])
+def test_summary_of_pairs_equals_the_pairs(spark, monkeypatch, limit):
+    monkeypatch.setattr(radius, "MAX_PAIRS_PER_SLICE", limit)
+    industries, _ = scatter(spark, 90, 1, "x")
+    hosts, _ = scatter(spark, 60, 2, "x")
+    names = {"x_id": "id", "x_lat": "latitude", "x_lon": "longitude"}
+    industries, hosts = industries.withColumnsRenamed(names), hosts.withColumnsRenamed(names)
+    odd = spark.createDataFrame([(1, None, 77.5), (2, 12.9, None), (3, float("nan"), 77.5), (None, 12.9, 77.5), (None, 13.0, 77.5),
+                                 (5, 12.9, 77.5), (5, 12.9, 77.5), (6, -60.0, 10.0), (7, 89.9, 10.0), (8, 89.9, -170.0)], hosts.schema)
+    industries, hosts = industries.unionByName(odd), hosts.unionByName(odd)
+    pairs = investing.nearby_industries(hosts, industries)
+    want = {r[0]: r[1:] for r in pairs.groupBy("h_id").agg(F.count("*"), F.min("distance_km"), F.avg("distance_km")).collect()}
+    made = investing.nearby_industries(hosts, industries, summary=True)
+    assert made.columns == ["h_id", "pairs", "nearest_km", "mean_km"]
+    got = {r[0]: r[1:] for r in made.collect()}
+    assert got.keys() == want.keys() and None in got and {1, 7, 8} <= got.keys()
+    for host, (count, nearest_km, mean_km) in want.items():
+        assert got[host][0] == count
+        assert got[host][1:] == pytest.approx((nearest_km, mean_km), abs=1e-9)
+
+
+def test_block_summary_decides_the_edge_by_the_formula():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    lat, lon = rng.uniform(12, 13, 50), rng.uniform(77, 78, 50)
+    a, b = np.radians(lat), np.radians(lon)
+    points = [np.cos(a) * np.cos(b) / 2, np.cos(a) * np.sin(b) / 2, np.sin(a) / 2, lat, lon, np.cos(a)]
+    up, out = np.sin(np.radians(lat - lat[0]) / 2), np.sin(np.radians(lon - lon[0]) / 2)
+    reach = np.arcsin(np.sqrt(up * up + np.cos(a) * np.cos(a[0]) * out * out)) * 2 * 6371
+    for r in reach[1:]:  # the radius is the very distance of one point
+        edge = np.sin(r / 12742) ** 2
+        disk = [c[:1] for c in points] + [np.array([v]) for v in (r, edge * (1 - 1e-9) - 1e-20, edge * (1 + 1e-9) + 1e-20)]
+        count, least, total = radius.block_summary(points, disk)
+        assert count[0] == (reach <= r).sum() and least[0] == 0.0
+        assert total[0] == pytest.approx(reach[reach <= r].sum(), abs=1e-9)
+
+
 @pytest.mark.parametrize("planar", [False, True])
 def test_radius_join_lists_no_cell_out_of_reach(spark, planar):
     wide = F.lit(1.0)
