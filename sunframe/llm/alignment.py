@@ -11,7 +11,8 @@ one, nothing is cut). So a text is the sequence of its segments between such pla
 products are made once per distinct segment of a worker's memory: documents are sums and sequences of segments.
 
 Counts over the corpus: tasks add up pairs per chunk of whole documents, Spark adds up chunks, and each chunk gets
-back the counts of its own pairs, joined by pair, never the whole table. Chunks are written once and read again.
+back the counts of its own pairs, joined by pair, never the whole table. Chunks are written once, in small row groups, and
+read again; each meets its counts as a group of its own.
 
 Defined cases: texts that are NULL, empty, or not reproduced byte by byte by both tokenizers have no tokens; special
 strings are plain text; repeated rows and repeated or NULL ids return a row each; extra columns are ignored; an empty
@@ -47,6 +48,10 @@ SEGMENT = re.compile(r"(?<=\S)(?= +\S)")
 UNEVEN = re.compile(r"\s | \Z")
 #: Bytes whose products are made at once.
 BLOCK = 1 << 18
+#: Rows of chunks are some MB each, and Parquet's writers and readers hold a row group: it is closed after about this many bytes,
+#: counted after each row instead of after a hundred. Statistics would keep two whole values per row group until the file is closed.
+ROW_GROUPS = {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1",
+              "parquet.column.statistics.enabled": "false"}
 
 
 class Csr:
@@ -366,37 +371,27 @@ def alignment_report(docs: DataFrame, byte_vocabulary=BYTE_VOCABULARY, piece_voc
 
     b_size = len(sentencepiece.SentencePieceProcessor(model_file=tokens.vocabulary_path(piece_vocabulary)))
     scratch = Scratch(docs.sparkSession, "alignment")
-    chunks = scratch.save(chunked(docs, byte_vocabulary, piece_vocabulary, chunk_chars), "chunks")
+    chunks = scratch.save(chunked(docs, byte_vocabulary, piece_vocabulary, chunk_chars), "chunks", **ROW_GROUPS)
     counts = scratch.save(pair_counts(chunks, b_size), "counts")
-    asked = scratch.read("chunks").select("chunk", F.explode("pairs").alias("pair"))
-    told = (asked.join(counts, "pair").groupBy(F.col("chunk").alias("of")).agg(F.array_sort(F.collect_list(
-        F.struct("pair", "count", "best"))).alias("known")))
-    told = told.select("of", F.transform("known", lambda x: x["count"]).alias("count"),
-                       F.transform("known", lambda x: x["best"].cast("long")).alias("best"))
-    met = (scratch.read("chunks").drop("pairs", "times")
-           .join(told, F.col("chunk") == F.col("of"), "left").drop("chunk", "of"))
-    names = met.columns
-
-    def digest(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                r = {n: batch.column(i)[row] for i, n in enumerate(names)}
-                number = {n: np.frombuffer(r[n].as_py(), dtype=np.uint32 if n in ("codes", "links") else np.int64)
-                          for n in ("doc_at", "codes", "link_at", "links")}
-                values = np.array([[0, 0, 0]])
-                if r["count"].is_valid:
-                    count, best = (r[n].values.to_numpy(zero_copy_only=False) for n in ("count", "best"))
-                    links = number["links"]
-                    per_link = np.stack([np.ones(len(links), dtype=np.int64), best[links], count[links]], axis=1)
-                    upto = np.concatenate([np.zeros((1, 3), dtype=np.int64), np.cumsum(per_link, axis=0)])
-                    values = upto[number["link_at"][1:]] - upto[number["link_at"][:-1]]
-                codes, doc_at = number["codes"], number["doc_at"]
-                upto = np.concatenate([np.zeros((1, 3), dtype=np.int64), np.cumsum(values[codes], axis=0)])
-                sums = upto[doc_at[1:]] - upto[doc_at[:-1]]
-                yield pa.RecordBatch.from_arrays(
-                    [*(r[n].values for n in ("doc_id", "n_a", "n_b", "n_groups")), *(pa.array(sums[:, k]) for k in range(3)),
-                     r["sha"].values],
-                    names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
-
-    return met.mapInArrow(digest, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, "
-                                  "count_sum long, groups_sha256 string")
+    asked = scratch.read("chunks").select(F.col("chunk").alias("of"), F.explode("pairs").alias("pair"))
+    told = asked.join(counts.hint("merge"), "pair").select("of", "pair", "count", F.col("best").cast("long").alias("best"))
+
+    def digest(chunk: pa.Table, known: pa.Table) -> pa.Table:
+        r = {n: chunk.column(n)[0] for n in chunk.column_names}
+        codes, links = (np.frombuffer(r[n].as_buffer(), dtype=np.uint32) for n in ("codes", "links"))
+        doc_at, link_at = (np.frombuffer(r[n].as_buffer(), dtype=np.int64) for n in ("doc_at", "link_at"))
+        order = np.argsort(known.column("pair").to_numpy())
+
+        def sums(per_link: np.ndarray) -> np.ndarray:
+            """Per document the sum over the links of its segments."""
+            upto = np.concatenate([[0], np.cumsum(per_link)])
+            upto = np.concatenate([[0], np.cumsum((upto[link_at[1:]] - upto[link_at[:-1]])[codes])])
+            return upto[doc_at[1:]] - upto[doc_at[:-1]]
+
+        best, count = (known.column(n).to_numpy()[order][links] for n in ("best", "count"))
+        return pa.table({**{n: r[n].values for n in ("doc_id", "n_a", "n_b", "n_groups")}, "n_links": sums(np.ones(len(links), dtype=np.int64)),
+                         "n_best": sums(best), "count_sum": sums(count), "groups_sha256": r["sha"].values})
+
+    # one chunk and its counts at a time: a task's memory does not follow the number of its chunks
+    return scratch.read("chunks").drop("pairs", "times").groupBy("chunk").cogroup(told.groupBy("of")).applyInArrow(
+        digest, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")

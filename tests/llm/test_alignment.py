@@ -129,3 +129,28 @@ def test_links_of_tokens(spark, direct):
 
 def test_empty_table(spark):
     assert alignment.alignment_report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_memory_follows_a_chunk_and_not_a_task(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    class Kept(alignment.Scratch):
+        def __init__(self, session, label):
+            super().__init__(session, label)
+            made.append(self)
+
+    made = []
+    monkeypatch.setattr(alignment, "Scratch", Kept)
+    monkeypatch.setitem(alignment.ROW_GROUPS, "parquet.block.size", str(100_000))
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(2_000))) for i in range(30)],
+                                 "doc_id long, text string").coalesce(1)  # thirty chunks of one task, in one row group before
+    report = alignment.alignment_report(docs, chunk_chars=10_000)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "collect_list" not in plan
+    assert report.count() == 30
+    groups = []
+    for file in spark.read.parquet(f"{made[0].root}/chunks").inputFiles():
+        meta = pq.ParquetFile(file.removeprefix("file:")).metadata
+        groups += [meta.row_group(i) for i in range(meta.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 30 and max(g.num_rows for g in groups) <= 10
