@@ -67,7 +67,8 @@ def best_in_reach(seekers: DataFrame, partners: DataFrame, plan: Reach, k: int,
 
 
 def _kept(pairs: DataFrame, plan: Reach) -> DataFrame:
-    near = pairs.where(F.col("distance_km") <= plan.limit)
+    # through a generated column no later filter slips back into the join, with the distance written out each time it is named
+    near = pairs.withColumn("distance_km", F.explode(F.array("distance_km"))).where(F.col("distance_km") <= plan.limit)
     if plan.condition is not None:
         near = near.where(plan.condition)
     return near.withColumn("_score", plan.score)
@@ -109,6 +110,7 @@ def _bounded(seekers: DataFrame, partners: DataFrame, plan: Reach, k: int) -> Da
     ranked = F.array_sort(F.transform(hopeful, lambda b: F.struct((-plan.bound(b)).alias("rank"), b["leaves"].alias("leaves"))))
     first = asking.withColumn("_tree", told).withColumn("_pick", F.explode(F.slice(leaves(F.slice(ranked, 1, SEED_CLASSES)), 1, SEED_CLASSES))).withColumns(
         {"_want": F.col("_pick.want"), "_cap": cap, "_best": -F.col("_pick.rank")}).drop("_pick", "_tree")
+    first = materialize(first, "first-classes")  # rating classes costs more than reading a few rows per seeker
     spots = first.groupBy(*plan.seeker_at, "_want").agg(F.max("_cap").alias("_cap"))
     spots = spots.withColumnsRenamed({plan.seeker_at[0]: "_at0", plan.seeker_at[1]: "_at1", "_want": "_class_wanted"})
     found = nearest_on_globe(spots, tagged, ("_at0", "_at1"), plan.partner_at, plan.partner_id, k,
