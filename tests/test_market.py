@@ -234,3 +234,30 @@ def test_top_in_disks_equals_brute_force(spark, rim_rows):
         reach = x[0] % 4 * 25 + 10.0
         near = sorted((-(y[0] % 7), y[0]) for y in rows_b if km(x, y) <= reach)[:3]
         assert got.get((*x[1:], reach), set()) == {i for _, i in near}
+
+
+def test_summary_copies_few_rows_of_a_crowded_cell(spark, monkeypatch):
+    monkeypatch.setattr(radius, "MAX_PAIRS_PER_SLICE", 100)
+    copied, cut = [], radius._cut
+    monkeypatch.setattr(radius, "_cut", lambda *a: copied.append(cut(*a)) or copied[-1])
+    rng = random.Random(3)
+    industries, hosts = (spark.createDataFrame([(i, 12.9 + rng.random() / 100, 77.5 + rng.random() / 100) for i in range(n)],
+                                               "id long, latitude double, longitude double") for n in (400, 600))
+    made = investing.nearby_industries(hosts, industries, summary=True)
+    assert {(r.pairs, r.h_id) for r in made.collect()} == {(400, i) for i in range(600)}
+    # blocks follow the number of pairs; parts of ten rows copied every industry 60 times
+    assert copied[0][0].count() <= 400 * 16 and radius.LONGEST_SIDE > 10
+
+
+def test_summary_of_many_points_goes_through_pieces(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    lat, lon = rng.uniform(12, 13, 700), rng.uniform(77, 78, 700)
+    points = [*radius._half_vectors(lat, lon), lat, lon, np.cos(np.radians(lat))]
+    edge = np.sin(30 / 12742) ** 2
+    disks = [c[:90] for c in points] + [np.full(90, v) for v in (30.0, edge * (1 - 1e-9) - 1e-20, edge * (1 + 1e-9) + 1e-20)]
+    whole = radius.block_summary(points, disks)
+    monkeypatch.setattr(radius, "PIECE", 64)
+    count, least, total = radius.block_summary(points, disks)
+    assert (count == whole[0]).all() and (least == whole[1]).all() and total == pytest.approx(whole[2], abs=1e-9)
