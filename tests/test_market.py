@@ -261,3 +261,17 @@ def test_summary_of_many_points_goes_through_pieces(monkeypatch):
     monkeypatch.setattr(radius, "PIECE", 64)
     count, least, total = radius.block_summary(points, disks)
     assert (count == whole[0]).all() and (least == whole[1]).all() and total == pytest.approx(whole[2], abs=1e-9)
+
+
+def test_slices_grow_with_the_pairs_and_hold_no_long_side(spark, monkeypatch):
+    monkeypatch.setattr(radius, "MAX_PAIRS_PER_SLICE", 100)
+    monkeypatch.setattr(radius, "LONGEST_SIDE", 200)
+    points = spark.range(401).select(F.col("id").alias("a_id"), F.when(F.col("id") < 400, 3).otherwise(4).alias("_level"))
+    disks = spark.range(1200).select(F.col("id").alias("b_id"), F.when(F.col("id") < 600, 3).otherwise(4).alias("_d_level"))
+    a, b, on = radius._slice_hot(points, disks, [("_level", "_d_level")])
+    pairs = a.join(b, [a[p] == b[d] for p, d in on])
+    assert pairs.select("a_id", "b_id").distinct().count() == pairs.count() == 400 * 600 + 600
+    # parts of ten rows copied every point 60 times
+    assert a.where("_level = 3").count() <= 400 * 20 and b.where("_d_level = 3").count() <= 600 * 20
+    # one point with many disks: no slice of disks longer than the limit, up to the chance of a hash
+    assert b.where("_d_level = 4").groupBy("_d_slice").count().agg(F.max("count")).first()[0] <= 300
